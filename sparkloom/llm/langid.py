@@ -53,7 +53,7 @@ class Trees:
         self.names, self.order = sorted(counts), order
         self.levels: list[tuple[HashArray, HashArray]] = []
         many = len(self.names)
-        for k in range(order + 1):
+        for k in range(order + 1 if many else 0):
             mask = (1 << (8 * (k + 1))) - 1
             seen, inside = {}, {}
             for i, name in enumerate(self.names):

@@ -87,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     many = [totals.get(0, 0), totals.get(1, 0)]
     if not all(many):
-        rate = (many[1] + 1) / (sum(many) + 2)
+        rate = (many[1] + 0.5) / (sum(many) + 2)
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), float(np.log(rate / (1 - rate))))
     scale = 1 << 30
     part = F.when(F.col("y") == 1, int(scale * min(1.0, per_class / many[1]))).otherwise(int(scale * min(1.0, per_class / many[0])))
