@@ -32,19 +32,19 @@ def propagate(blocks: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> D
     (shard, priority) whose size does not depend on the data. Rounds end when nothing moves.
     """
     shards = len(capacity)
+    loads = _loads(blocks, shards)
     for turn in range(rounds):
-        loads = _loads(blocks, shards)
         spare = _list([c - n for c, n in zip(capacity, loads, strict=True)])
         of_group = Window.partitionBy("g")
         size = F.sum("n").over(of_group)
-        plan = blocks.withColumn("size", size).withColumn("spare", F.get(spare, F.col("s")))
+        plan = blocks.select("g", "s", "n").withColumn("size", size).withColumn("spare", F.get(spare, F.col("s")))
         plan = plan.withColumn("reach", F.col("n") + F.least(F.col("spare"), F.col("size") - F.col("n")))
         best_first = of_group.orderBy(F.desc("reach"), F.desc("n"), F.xxhash64("g", "s", F.lit(turn)))
         before = F.coalesce(F.sum("reach").over(best_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         plan = plan.withColumn("want", F.greatest(F.lit(0), F.least(F.col("reach"), F.col("size") - before)))
         plan = plan.withColumn("more", F.greatest(F.lit(0), F.col("want") - F.col("n")))
         rank = (64 - F.floor(F.log2("size"))).cast("int") * 64 + F.pmod(F.xxhash64("g", F.lit(turn)), F.lit(64)).cast("int")
-        plan = stored(plan.select("g", "s", "n", "want", "more", rank.alias("rank")), "plan")
+        plan = plan.select("g", "s", "n", "want", "more", rank.alias("rank"))
         asked = plan.where("more > 0").groupBy("s", "rank").agg(F.sum("more").alias("asked"))
         upto = F.sum("asked").over(Window.partitionBy("s").orderBy("rank"))
         granted = asked.withColumn("upto", upto).where(F.col("upto") <= F.get(spare, F.col("s"))).select("s", "rank", F.lit(True).alias("ok"))
@@ -54,12 +54,13 @@ def propagate(blocks: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> D
         prior = F.coalesce(F.sum("away").over(of_group.orderBy("n", F.xxhash64("g", "s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         left = F.greatest(F.lit(0), F.least(F.col("away"), F.col("moved") - prior))
         after = stored(given.select("g", "s", (F.col("n") + F.col("got") - left).alias("n"), "got").where("n > 0"), "blocks")
-        moved = after.agg(F.sum("got")).collect()[0][0] or 0
-        dropped(plan)
-        blocks = after.select("g", "s", "n")
-        if not moved:
+        found = {r["s"]: (r["n"], r["got"]) for r in after.groupBy("s").agg(F.sum("n").alias("n"), F.sum("got").alias("got")).collect()}
+        loads = [int(found.get(s, (0, 0))[0]) for s in range(shards)]
+        dropped(blocks)
+        blocks = after
+        if not sum(got for _, got in found.values()):
             break
-    return blocks
+    return blocks.select("g", "s", "n")
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
