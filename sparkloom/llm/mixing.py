@@ -38,8 +38,8 @@ def _mixed(x, key: int):
     return x ^ (x >> np.uint64(32))
 
 
-def permuted(at: np.ndarray, count: int, key: int) -> np.ndarray:
-    """A pseudorandom permutation of range(count), at any indexes: four Feistel rounds, walked until in range."""
+def permuted(at: np.ndarray, count: int, key: int, back: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of range(count), or its inverse, at any indexes: four Feistel rounds, walked until in range."""
     half = max(1, ((max(count - 1, 1)).bit_length() + 1) // 2)
     low, shift = np.uint64((1 << half) - 1), np.uint64(half)
     out = at.astype(np.uint64)
@@ -47,8 +47,12 @@ def permuted(at: np.ndarray, count: int, key: int) -> np.ndarray:
     while todo.any():
         x = out[todo]
         left, right = x >> shift, x & low
-        for turn in range(4):
-            left, right = right, left ^ (_mixed(right, (key * 8 + turn) & 0xFFFFFFFFFFFFFFFF) & low)
+        for turn in reversed(range(4)) if back else range(4):
+            seed = (key * 8 + turn) & 0xFFFFFFFFFFFFFFFF
+            if back:
+                left, right = right ^ (_mixed(left, seed) & low), left
+            else:
+                left, right = right, left ^ (_mixed(right, seed) & low)
         out[todo] = (left << shift) | right
         todo &= out >= np.uint64(count)
     return out.astype(np.int64)
@@ -69,21 +73,12 @@ def slots(size: int, target: float, source: int, block: int = BLOCK, seed: int =
     if not rest:
         end = permuted(np.array([count - 1]), count, _key(source, epochs - 1, seed))[0]
         return epochs * count, last if end == count - 1 else block
-    perm_at = _find(count, count - 1, _key(source, epochs, seed))
+    perm_at = permuted(np.array([count - 1]), count, _key(source, epochs, seed), back=True)[0]
     n = -(-rest // block)
     words = lambda k: k * block - (block - last if perm_at < k else 0)
     if words(n) < rest:
         n += 1
-    return epochs * count + n, rest - words(n - 1)
-
-
-def _find(count: int, value: int, key: int, step: int = 1 << 20) -> int:
-    """The index that the permutation sends to value."""
-    for i in range(0, count, step):
-        hit = np.nonzero(permuted(np.arange(i, min(count, i + step)), count, key) == value)[0]
-        if len(hit):
-            return i + int(hit[0])
-    raise AssertionError("not a permutation")
+    return int(epochs * count + n), int(rest - words(n - 1))
 
 
 def draws(counts: list[int], per_shard: int = SHARD_SLOTS, seed: int = SEED) -> list[tuple[int, int, int, int]]:

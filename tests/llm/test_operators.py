@@ -210,6 +210,7 @@ def test_mixing(docs, none):
         assert abs(taken - target) <= 1 and target <= 2 * size + 1e-9
     assert abs(sum(x[2] for x in by.values()) - 1.5 * sum(x[0] for x in by.values())) < 1e-6
     assert sorted(permuted(np.arange(1000), 1000, 77)) == list(range(1000))
+    assert (permuted(permuted(np.arange(1000), 1000, 77), 1000, 77, back=True) == np.arange(1000)).all()
     assert mix_report(none).isEmpty()
     words = sum(len((r.text or "").split()) for r in mixed_documents(docs, block=16).collect())
     assert words == sum(r.taken for r in mix_report(docs, block=16).collect())
