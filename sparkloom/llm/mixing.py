@@ -147,7 +147,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     drawn = given.mapInPandas(run, "sid int, shard int, slot long, epoch long, block long, most long")
     taken = F.least(F.col("words"), F.col("most") - F.col("within"))
-    mixed = drawn.join(parts, ["sid", "block"]).withColumn("words", taken).where("words > 0")
+    #: A few ranges make many slots, which the planner cannot know: a broadcast of them would grow with the data.
+    mixed = drawn.hint("merge").join(parts, ["sid", "block"]).withColumn("words", taken).where("words > 0")
     return mixed.select("shard", "slot", "sid", "block", "epoch", "id", "first", "words"), known
 
 
