@@ -27,8 +27,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, 3 or fewer differing bits."""
-    return simhash_dedup(docs, width=5)
+    """One document of each group of near duplicates stays: the fingerprints of op9, 3 or fewer differing bits."""
+    return simhash_dedup(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,6 +106,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows of docs whose id is the smallest of their group, with all their columns."""
+    """The rows of docs whose id is the smallest of their group, with all their columns; rows with a null id stay, as no id tells them apart."""
     stay = simhash_groups(docs, id_col, text_col, width).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col] == stay["_stay"], "left_semi")
+    named = docs.where(F.col(id_col).isNotNull())
+    return named.join(stay, named[id_col] == stay["_stay"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

@@ -296,4 +296,6 @@ def test_pipeline(spark, tmp_path, docs):
     cut = c.exact(spark, d, str(tmp_path))
     assert sorted(r.doc_id for r in cut.collect()) == sorted({t or "": i for i, t, *_ in reversed(made())}.values())
     assert c.near(spark, cut, str(tmp_path)).columns == d.columns
+    unnamed = spark.createDataFrame([(None, f"text {k} of no id", None, None, 0) for k in (1, 1, 2)], d.schema)
+    assert c.near(spark, cut.union(unnamed), str(tmp_path)).where("doc_id is null").count() == 3
     assert not c.run(spark, str(tmp_path)).isEmpty()
