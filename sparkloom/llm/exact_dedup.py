@@ -37,10 +37,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", digest=content_hash) -> DataFrame:
-    """The rows of docs that exact_groups keeps, with all their columns; repeated rows stay once."""
-    gone = exact_groups(docs, id_col, text_col, keep, digest).where("not kept").select(F.col(id_col).alias("_gone"))
-    once = docs.dropDuplicates([id_col, text_col])
-    return once.join(gone, once[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows of docs that exact_groups keeps, with all their columns; rows that repeat id and text stay once.
+
+    Rows are told apart by id and text, so another text under the same id, or without an id, is not lost with a copy.
+    """
+    gone = exact_groups(docs, id_col, text_col, keep, digest).where("not kept").select(F.col(id_col).alias("_gone"), F.unhex("text_sha256").alias("_gone_sha"))
+    once = docs.withColumn("_own_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))).dropDuplicates([id_col, "_own_sha"])
+    stay = once.join(gone, once[id_col].eqNullSafe(gone["_gone"]) & (once["_own_sha"] == gone["_gone_sha"]), "left_anti")
+    return stay.drop("_own_sha")
 
 
 ORACLE = """

@@ -58,6 +58,16 @@ def test_exact_groups(docs, none, spark):
     assert exact_dedup(docs.union(docs)).count() == len(size)
 
 
+def test_exact_dedup_keeps_other_texts(spark):
+    """Another text under the id of a dropped copy, or under none, stays; null and empty text are one text."""
+    from sparkloom.llm.exact_dedup import exact_dedup
+
+    rows = [(None, "a"), (None, "b"), (None, "b"), (3, "c"), (5, "c"), (5, "d"), (1, "a"), (7, None), (7, ""), (8, "")]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=str) == sorted([(None, "b"), (3, "c"), (5, "d"), (1, "a"), (7, "")], key=str)
+
+
 def test_line_dedup(docs, none):
     from sparkloom.llm.line_dedup import line_dedup
 
