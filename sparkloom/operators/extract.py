@@ -77,7 +77,7 @@ def headers(files: DataFrame, comment: str = r"--") -> DataFrame:
 
 def export_shapes(files: DataFrame) -> DataFrame:
     """(node_id, export): what the last return at the margin gives: table, function, call, name or none."""
-    last = F.element_at(F.regexp_extract_all("content", F.lit(r"(?m)^return\s+(.*)$"), F.lit(1)), -1)
+    last = F.try_element_at(F.regexp_extract_all("content", F.lit(r"(?m)^return\s+(.*)$"), F.lit(1)), F.lit(-1))
     t = F.trim(last)
     return files.select("node_id", F.when(last.isNull(), "none").when(t.startswith("{"), "table").when(t.startswith("function"), "function").when(t.contains("("), "call").otherwise("name").alias("export"))
 
@@ -117,7 +117,7 @@ def log_commits(text: DataFrame) -> DataFrame:
     record = text.select(F.explode(F.split("content", "\x1e")).alias("r")).where("trim(r) != ''")
     parts = F.split("r", "\n")
     head = F.split(parts[0], "\x1f")
-    return record.select(head[0].alias("sha"), F.to_date(head[1]).alias("day"), F.explode(F.array_distinct(F.filter(F.slice(parts, 2, 1_000_000), lambda p: p != ""))).alias("path"))
+    return record.select(head[0].alias("sha"), F.try_to_date(F.get(head, F.lit(1))).alias("day"), F.explode(F.array_distinct(F.filter(F.slice(parts, 2, 1_000_000), lambda p: p != ""))).alias("path"))
 
 
 def checklist_items(files: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def checklist_items(files: DataFrame) -> DataFrame:
     rows = lines(files).withColumn("section", F.last(F.when(heading != "", heading), True).over(w)).withColumn("mark", F.regexp_extract("text", r"^\s*[-*]\s+\[([ xX])\]", 1)).where("mark != ''")
     part = lambda p, i: F.when(F.regexp_extract("text", p, i) != "", F.regexp_extract("text", p, i))
     body = F.trim(F.regexp_replace(F.regexp_replace("text", r"^\s*[-*]\s+\[[ xX]\]\s*", ""), r"<!--.*?-->|@(ref|verified)\s+\S+", ""))
-    return rows.select("node_id", "line", "section", (F.lower("mark") == "x").alias("done"), body.alias("text"), part(r"@ref\s+([^\s:>]+)", 1).alias("ref"), part(r"@ref\s+[^\s:>]+:(\d+)", 1).cast("int").alias("ref_line"), F.to_date(part(r"@verified\s+(\d{4}-\d{2}-\d{2})", 1)).alias("verified"))
+    return rows.select("node_id", "line", "section", (F.lower("mark") == "x").alias("done"), body.alias("text"), part(r"@ref\s+([^\s:>]+)", 1).alias("ref"), part(r"@ref\s+[^\s:>]+:(\d+)", 1).try_cast("int").alias("ref_line"), F.try_to_date(part(r"@verified\s+(\d{4}-\d{2}-\d{2})", 1)).alias("verified"))
 
 
 def feature_entries(files: DataFrame) -> DataFrame:
@@ -160,3 +160,120 @@ def directories(files: DataFrame) -> DataFrame:
     depth = F.size(F.split("node_id", "/"))
     root = files.sparkSession.createDataFrame([(".", None, 0)], "node_id string, parent_id string, depth int")
     return root.union(each.select("node_id", F.when(depth == 1, ".").otherwise(F.regexp_extract("node_id", "^(.*)/[^/]*$", 1)).alias("parent_id"), depth.alias("depth")))
+
+
+#: Where the known callees of bindings have their arguments (kind, place of the modes or 0, place of the key).
+BINDERS = {
+    "vim.keymap.set": ("keymap", 1, 2), "vim.api.nvim_set_keymap": ("keymap", 1, 2), "vim.api.nvim_buf_set_keymap": ("keymap", 2, 3),
+    "vim.api.nvim_create_user_command": ("usercmd", 0, 1), "vim.api.nvim_buf_create_user_command": ("usercmd", 0, 2), "vim.api.nvim_create_autocmd": ("autocmd", 0, 1),
+}
+#: Words before a bracket that call nothing.
+NO_CALLEES = ("if", "elseif", "while", "for", "return", "and", "or", "not", "function", "until", "in", "switch", "catch")
+#: The most letters of a symbol's detail, and the most commits listed.
+DETAIL, COMMITS = 48, 500
+
+
+def doc_tags(files: DataFrame) -> DataFrame:
+    """(node_id, owner, line, tag, value) of blocks of `---` lines; owner is the line below the block.
+
+    Lines before the first tag are one row with tag `prose`; lines after @example belong to it, other lines after a
+    tag to none. Blocks are runs of comment lines: a line's number less its rank among them is the same in a run.
+    """
+    run = Window.partitionBy("node_id").orderBy("line")
+    block = Window.partitionBy("node_id", "block")
+    rows = lines(files).where(F.col("text").rlike(r"^\s*---")).withColumn("block", F.col("line") - F.row_number().over(run))
+    rows = rows.withColumn("name", F.regexp_extract("text", r"^\s*---\s*@([A-Za-z]+)", 1)).withColumn("owner", F.max("line").over(block) + 1)
+    rows = rows.withColumn("nth", F.sum((F.col("name") != "").cast("int")).over(block.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
+    said = F.when(F.col("name") != "", F.regexp_extract("text", r"^\s*---\s*@[A-Za-z]+\s*(.*)$", 1)).otherwise(F.regexp_replace("text", r"^\s*---?\s?", ""))
+    got = rows.withColumn("said", said).groupBy("node_id", "owner", "nth").agg(F.min("line").alias("line"), F.max("name").alias("name"), F.array_sort(F.collect_list(F.struct("line", "said"))).alias("all"))
+    told = F.transform("all", lambda x: x["said"])
+    body = F.when(F.col("name").isin("", "example"), F.array_join(F.when((F.col("name") == "example") & (told[0] == ""), F.slice(told, 2, 1_000_000)).otherwise(told), "\n")).otherwise(told[0])
+    return got.select("node_id", "owner", "line", F.when(F.col("name") == "", "prose").otherwise(F.col("name")).alias("tag"), body.alias("value"))
+
+
+def doc_blocks(tags: DataFrame) -> DataFrame:
+    """(node_id, owner, summary, params, see, todo, bug, test, deprecated, internal, example): a row for each block."""
+    from sparkloom.functions.scalar import summary_of
+
+    held = lambda t, v: F.transform(F.filter(F.array_sort(F.collect_list(F.when(F.col("tag") == t, F.struct("line", v.alias("v"))))), lambda x: x.isNotNull()), lambda x: x["v"])
+    value = F.col("value")
+    one = lambda t: F.max_by(F.when(F.col("tag") == t, value), F.when(F.col("tag") == t, F.col("line")))
+    out = tags.groupBy("node_id", "owner").agg(
+        summary_of(F.coalesce(one("prose"), F.lit(""))).alias("summary"), held("param", F.regexp_extract("value", r"^([A-Za-z_.][A-Za-z0-9_.]*)", 1)).alias("params"), held("see", value).alias("_see"),
+        held("todo", value).alias("todo"), held("bug", value).alias("bug"), held("test", value).alias("test"), one("deprecated").alias("deprecated"), F.bool_or(F.col("tag") == "internal").alias("internal"), one("example").alias("example"))
+    see = F.flatten(F.transform("_see", lambda x: F.transform(F.split(x, ","), lambda y: F.trim(y))))
+    return out.select("node_id", "owner", "summary", "params", see.alias("see"), "todo", "bug", "test", "deprecated", "internal", "example")
+
+
+def export_name(files: DataFrame) -> DataFrame:
+    """(node_id, exported): the local that the last return at the margin gives, bare or within setmetatable; null if neither."""
+    pattern = r"(?m)^return\s+(?:setmetatable\s*\(\s*)?([A-Za-z_][A-Za-z0-9_]*)\s*(?:[,)].*)?$"
+    last = F.try_element_at(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), F.lit(-1))
+    return files.select("node_id", F.when(last != "", last).alias("exported"))
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """(node_id, line, name, kind, detail): locals at the margin that are no functions, no requires and not what the file returns."""
+    name, value = F.regexp_extract("text", r"^local\s+([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*)$", 1), F.trim(F.regexp_extract("text", r"^local\s+[A-Za-z_][A-Za-z0-9_]*\s*=\s*(.*)$", 1))
+    rows = lines(files).withColumn("name", name).where("name != ''").withColumn("v", value).where(~F.col("v").rlike(r"^(function\b|require\s*\(?\s*[\"'])"))
+    first = rows.groupBy("node_id", "name").agg(F.min_by(F.struct("line", "v"), "line").alias("x")).select("node_id", "name", "x.line", "x.v")
+    kept = first.join(export_name(files), "node_id").where("exported is null or name != exported")
+    flat = F.trim(F.regexp_replace("v", r"\s+", " "))
+    short = F.when(F.length(flat) > DETAIL, F.concat(F.substring(flat, 1, DETAIL - 1), F.lit("…"))).otherwise(flat)
+    table, constant = F.col("v").startswith("{"), F.col("v").rlike(r"^(-?[0-9][0-9a-fA-FxX.eE+-]*|\"[^\"]*\"|'[^']*'|true|false)$")
+    return kept.select("node_id", "line", "name", F.when(table, "table").when(constant, "constant").otherwise("binding").alias("kind"), F.when(table, F.when(F.col("v").rlike(r"^\{\s*\}"), "empty")).otherwise(short).alias("detail"))
+
+
+def bindings(files: DataFrame, wrappers: dict[str, str] | None = None) -> DataFrame:
+    """(node_id, line, kind, modes, lhs, buffer_local) of calls written on a line; wrappers: own callee -> known callee whose places it has.
+
+    A mode list in braces gives its modes joined by commas, in order; a key that is no literal gives no row.
+    """
+    known = {**BINDERS, **{own: BINDERS[of] for own, of in (wrappers or {}).items() if of in BINDERS}}
+    local = {own: "_buf_" in (wrappers or {}).get(own, own) for own in known}
+    table = files.sparkSession.createDataFrame([(c, k, m, p, local[c]) for c, (k, m, p) in known.items()], "callee string, kind string, mode_at int, key_at int, buffer_local boolean")
+    call = r"(?<![A-Za-z0-9_.:])([A-Za-z_][A-Za-z0-9_.]*)\s*\((.*)$"
+    argument = r"\{[^}]*\}|\"[^\"]*\"|'[^']*'|[^,\"'{}]+"
+    rows = lines(files).where(~F.col("text").rlike(r"^\s*--")).withColumn("callee", F.regexp_extract("text", call, 1)).where("callee != ''")
+    args = F.filter(F.transform(F.regexp_extract_all(F.regexp_extract("text", call, 2), F.lit(argument), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+    got = rows.withColumn("args", args).join(F.broadcast(table), "callee")
+    at = lambda n: F.try_element_at("args", n)
+    words = lambda c: F.array_join(F.regexp_extract_all(c, F.lit("[\"']([^\"']*)[\"']"), F.lit(1)), ",")
+    modes = F.when(F.col("mode_at") > 0, words(at(F.greatest("mode_at", F.lit(1)))))
+    return got.where(at(F.col("key_at")).rlike("^[\"'{]")).select("node_id", "line", "kind", modes.alias("modes"), words(at(F.col("key_at"))).alias("lhs"), "buffer_local")
+
+
+def call_sites(files: DataFrame, spans: DataFrame, comment: str = "--") -> DataFrame:
+    """(node_id, seq, line, callee, from_fn): names before a bracket; from_fn is the outermost of spans (node_id, fn_key, first, last) around the line, null outside."""
+    code = lines(files).where(~F.startswith(F.trim("text"), F.lit(comment)))
+    bare = F.regexp_replace("text", r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", "\"\"")
+    found = code.select("node_id", "line", F.posexplode(F.regexp_extract_all(bare, F.lit(r"(?<!function )(?<![A-Za-z0-9_.:])([A-Za-z_][A-Za-z0-9_]*(?:[.:][A-Za-z_][A-Za-z0-9_]*)*)\s*\("), F.lit(1))).alias("p", "callee")).where(~F.col("callee").isin(*NO_CALLEES))
+    around = found.select("node_id", "line").distinct().join(spans, "node_id").where("line between first and last").groupBy("node_id", "line").agg(F.min_by("fn_key", F.struct("first", -F.col("last"))).alias("from_fn"))
+    return found.join(around, ["node_id", "line"], "left").select("node_id", (F.col("line").cast("long") * 1000 + F.col("p")).alias("seq"), "line", "callee", "from_fn")
+
+
+def tools(files: DataFrame) -> DataFrame:
+    """(node_id, name, command, raw) of the array `tools` of a JSON file; an entry that is no object has no name."""
+    entries = F.from_json("content", "struct<tools: array<string>>")["tools"]
+    each = files.select("node_id", F.explode(entries).alias("raw"))
+    return each.select("node_id", F.get_json_object("raw", "$.name").alias("name"), F.get_json_object("raw", "$.command").alias("command"), "raw")
+
+
+def commit_list(commits: DataFrame, most: int = 50) -> DataFrame:
+    """(sha, day, files): the latest commits; `most` is kept in 1 to COMMITS."""
+    each = commits.groupBy("sha", "day").agg(F.countDistinct("path").alias("files"))
+    return each.orderBy(F.desc("day"), F.desc("sha")).limit(max(1, min(most, COMMITS)))
+
+
+def uncovered_roots(roots: DataFrame) -> DataFrame:
+    """roots (path) that no other root contains: prefixes of each path meet the roots on equality."""
+    own = roots.select("path").distinct()
+    parts = F.split("path", "/")
+    above = own.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n == 0, ".").otherwise(F.array_join(F.slice(parts, 1, n), "/")))).alias("up")).where("up != path")
+    covered = above.join(own.select(F.col("path").alias("up")), "up", "left_semi").select("path").distinct()
+    return own.join(covered, "path", "left_anti")
+
+
+def extension_counts(files: DataFrame) -> DataFrame:
+    """(ext, claimed, n) of files with a language or without, as claimed() gives them."""
+    return files.groupBy("ext", F.col("language").isNotNull().alias("claimed")).agg(F.count(F.lit(1)).alias("n"))

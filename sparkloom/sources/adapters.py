@@ -47,6 +47,13 @@ SQL: dict[str, str] = {
         FROM (SELECT doc_id, k, path, split_part(path, '/', 1) AS r_name, split_part(path, '/', 2) AS n_name FROM (SELECT doc_id, doc_id % (SELECT count(*) FROM supplier) AS mk FROM documents) d JOIN modules ON d.mk = k) x""",
     "checklist": """SELECT o_orderkey AS item, 'docs/list' || CAST(o_custkey % 5 AS STRING) || '.md' AS file, o_orderkey AS line, CASE WHEN o_orderkey % 4 = 0 THEN CAST(NULL AS STRING) ELSE m.path END AS ref, CASE WHEN o_orderkey % 3 = 0 THEN CAST(NULL AS DATE) ELSE CAST(o_orderdate AS DATE) END AS verified, o_orderstatus = 'F' AS done
         FROM (SELECT *, o_orderkey % (SELECT count(*) FROM supplier) AS mk FROM orders WHERE o_orderkey % 50 = 7 OR o_orderkey % 50 = 8) q JOIN modules m ON q.mk = m.k""",
+    "luafiles": """SELECT fn_key AS node_id, k, 'local dep = require("' || language || '.dep' || CAST(k % 9 AS STRING) || '")' || chr(10) || 'local LIMIT = ' || CAST(k AS STRING) || chr(10) || 'local opts = ' || chr(123) || chr(125) || chr(10) || 'local M = ' || chr(123) || chr(125) || chr(10)
+        || '--- Makes item ' || CAST(k AS STRING) || '. More is said here.' || chr(10) || '---@param a' || CAST(k % 3 AS STRING) || ' string The first.' || chr(10) || '---@see ' || fn_name || ', helper' || CAST(k % 37 AS STRING) || chr(10)
+        || CASE WHEN k % 4 = 0 THEN '---@todo tidy ' || CAST(k AS STRING) || chr(10) ELSE '' END || CASE WHEN k % 7 = 0 THEN '---@deprecated use another' || chr(10) ELSE '' END || '---@example' || chr(10) || '--- run(' || CAST(k AS STRING) || ')' || chr(10)
+        || 'local function go' || CAST(k AS STRING) || '(a, b)' || chr(10) || '  vim.keymap.set(' || chr(123) || ' "n", "v" ' || chr(125) || ', "<leader>' || CAST(k % 40 AS STRING) || '", dep.run)' || chr(10) || '  return dep.run(a, "x(y)")' || chr(10) || 'end' || chr(10)
+        || 'vim.api.nvim_create_user_command("Do' || CAST(k % 21 AS STRING) || '", go, ' || chr(123) || chr(125) || ')' || chr(10) || CASE WHEN k % 2 = 0 THEN 'return M' ELSE 'return setmetatable(opts, ' || chr(123) || chr(125) || ')' END AS content FROM fns""",
+    "plugins": "SELECT p_partkey AS id, p_brand || '/' || CAST(p_size AS STRING) AS repo, p_partkey % 3 = 0 AS lazy, CASE WHEN p_partkey % 4 = 1 THEN p_type || ',' || p_brand WHEN p_partkey % 4 = 2 THEN p_type ELSE '' END AS trigger_list FROM part",
+    "extends": "SELECT c_custkey AS k, 'C' || CAST(c_custkey AS STRING) AS src, 'C' || CAST(CAST(floor(c_custkey / 5) AS BIGINT) * 2 AS STRING) AS dst FROM customer WHERE c_custkey % 5 > 1",
     "requests": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, url FROM pages",
 }
 

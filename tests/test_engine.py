@@ -101,3 +101,68 @@ def test_queries_have_unique_columns_and_rows():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+LUA = """local dep = require("a.dep")
+local N = 5
+local M = {}
+--- First one. Second.
+---@param a string
+---@see x.y, z
+---@todo later
+---@example
+--- go(1)
+
+local function go(a)
+  vim.keymap.set({ "n", "v" }, "<leader>k", dep.run)
+  mymap("i", "<c-x>", function() end)
+  -- dep.gone()
+  return dep.run(a, "x(y)")
+end
+go(2)
+return setmetatable(M, {})"""
+
+
+def test_lua_extractors(spark):
+    f = spark.createDataFrame([("f", LUA), ("e", "")], "node_id string, content string")
+    assert [(r.owner, r.line, r.tag, r.value) for r in X.doc_tags(f).orderBy("line").collect()] == [
+        (10, 4, "prose", "First one. Second."), (10, 5, "param", "a string"), (10, 6, "see", "x.y, z"), (10, 7, "todo", "later"), (10, 8, "example", "go(1)")]
+    one = X.doc_blocks(X.doc_tags(f)).collect()
+    assert [(r.summary, r.params, r.see, r.todo, r.bug, r.deprecated, r.internal, r.example) for r in one] == [("First one.", ["a"], ["x.y", "z"], ["later"], [], None, False, "go(1)")]
+    assert rows(X.symbols(f).select("line", "name", "kind", "detail")) == [(2, "N", "constant", "5")]
+    assert rows(X.export_name(f)) == [("e", None), ("f", "M")]
+    assert rows(X.export_shapes(f)) == [("e", "none"), ("f", "call")]
+    assert rows(X.bindings(f, {"mymap": "vim.keymap.set"}).select("kind", "modes", "lhs")) == [("keymap", "i", "<c-x>"), ("keymap", "n,v", "<leader>k")]
+    spans = spark.createDataFrame([("f", "f#go", 11, 16), ("f", "f#inner", 12, 13)], "node_id string, fn_key string, first int, last int")
+    got = {(r.line, r.callee): r.from_fn for r in X.call_sites(f, spans).collect()}
+    assert got == {(1, "require"): None, (12, "vim.keymap.set"): "f#go", (13, "mymap"): "f#go", (15, "dep.run"): "f#go", (17, "go"): None, (18, "setmetatable"): None}
+
+
+def test_tools_and_roots(spark):
+    f = spark.createDataFrame([("t", '{"tools": [{"name": "rg", "command": "rg -n"}, "odd", {"command": "x"}]}'), ("bad", "{")], "node_id string, content string")
+    got = X.tools(f)
+    assert {(r.name, r.command) for r in got.collect()} == {("rg", "rg -n"), (None, "x"), (None, None)}
+    log = spark.createDataFrame([("\x1eab\x1f2024-01-02\n\nx.lua\nx.lua\n\x1ebroken\ny.lua\n",)], "content string")
+    assert [(r.sha, str(r.day), r.path) for r in X.log_commits(log).orderBy("path").collect()] == [("ab", "2024-01-02", "x.lua"), ("broken", "None", "y.lua")]
+    assert C.invalid_tools(got).count() == 2
+    roots = spark.createDataFrame([("lua",), ("lua/a",), ("src",), ("source",)], "path string")
+    assert rows(X.uncovered_roots(roots)) == [("lua",), ("source",), ("src",)]
+    assert rows(X.uncovered_roots(spark.createDataFrame([(".",), ("a",)], "path string"))) == [(".",)]
+
+
+def test_views(spark):
+    from sparkloom.operators import views as V
+
+    e = spark.createDataFrame([("a", "b", False), ("b", "c", True)], "src string, dst string, deferred boolean")
+    assert rows(V.why(e, "a", "c")) == [(1, "a", "b", False, True), (2, "b", "c", True, True)]
+    assert rows(V.drawn_layers(e, spark.createDataFrame([("b",)], "node string"))) == [("a", 0, False), ("b", 1, False), ("c", 2, False)]
+    assert rows(V.drawn_layers(e, spark.createDataFrame([("b",)], "node string"), most=2)) == [("b", 0, True), ("c", 1, True)]
+    fam = V.families(spark.createDataFrame([("dog", "animal"), ("pup", "dog"), ("x", "y"), ("y", "x")], "src string, dst string"))
+    assert rows(fam) == [("animal", "animal", 0), ("dog", "animal", 1), ("pup", "animal", 2), ("x", "x", 0), ("y", "x", 0)]
+    words = spark.createDataFrame([("string.format.x",), ("end",), ("s:rep",), ("no.end",), ("",)], "word string")
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    assert rows(V.glossary(words, keys("string", "string.format", "string.rep"), keys("end"), "string")) == [("end", "end", "keyword"), ("s:rep", "string.rep", "stdlib"), ("string.format.x", "string.format", "stdlib")]
+    p = spark.createDataFrame([("r/a", True, []), ("r/a", False, ["cmd"]), ("r/b", False, [])], "repo string, lazy boolean, triggers array<string>")
+    assert rows(V.load_states(p).select("repo", "state", "twice")) == [("r/a", "ondemand", True), ("r/a", "trigger", True), ("r/b", "startup", False)]
+    fn = spark.createDataFrame([("useThing",), ("useless",), ("M.useX",)], "fn_name string")
+    assert rows(V.hooks(fn)) == [("M.useX",), ("useThing",)]
