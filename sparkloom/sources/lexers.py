@@ -17,8 +17,21 @@ STARTS = {
     "end": re.compile(r"^\s*defp?\s+([\w.?!]+)\s*\(?([^)]*)\)?"),
 }
 FAMILY = {"lua": "lua", "ruby": "end", "elixir": "end"}
+#: Languages whose functions are runs of clauses at the margin: how a clause begins, and a signature before it.
+CLAUSES = {
+    "haskell": (re.compile(r"^(?!(?:module|import|data|type|newtype|class|instance|where|infix[lr]?|deriving|foreign|default)\b)([a-z_][\w']*)((?:\s+[^\s=|:]+)*)\s*(?:[=|](?!=)|$)"), re.compile(r"^([a-z_][\w']*)\s*::")),
+    "ocaml": (re.compile(r"^let\s+(?:rec\s+)?([a-z_][\w']*)((?:\s+[^\s=:]+)+?)\s*(?::[^=]+)?="), None),
+    "erlang": (re.compile(r"^([a-z]\w*)\(([^)]*)\)\s*(?:when\b.*)?->"), re.compile(r"^-spec\s+([a-z]\w*)\(")),
+    "asm": (re.compile(r"^([A-Za-z_][\w$@]*)()\s*:"), None),
+}
+#: What makes a name of such a language public, where the file lists or marks it.
+EXPORTS = {
+    "haskell": re.compile(r"(?s)^module\s+[\w.]+\s*\(([^)]*(?:\([^)]*\)[^)]*)*)\)\s*where", re.M),
+    "erlang": re.compile(r"(?s)^-export\(\[([^\]]*)\]\)", re.M),
+    "asm": re.compile(r"^\s*\.?(?:globl|global|public)\s+(.*)$", re.M | re.I),
+}
 BRANCH = re.compile(r"\b(?:if|elseif|elif|for|while|repeat|case|catch|except|and|or)\b|&&|\|\|")
-COMMENT = {"lua": "--", "ruby": "#", "elixir": "#", "haskell": "--"}
+COMMENT = {"lua": "--", "ruby": "#", "elixir": "#", "haskell": "--", "erlang": "%", "ocaml": "(*", "asm": ";"}
 OPENING = re.compile(r"\b(?:function|if|for|while|do|repeat|def|class|module|case|begin)\b")
 
 
@@ -64,6 +77,40 @@ def _blocks(content: str, language: str):
         notes = []
 
 
+def _clauses(content: str, language: str):
+    """Functions written as clauses at the margin; a function ends before the next line at the margin that is not its own."""
+    start, sign = CLAUSES[language]
+    rows, notes, found, at = content.split("\n"), [], {}, None
+    listed = EXPORTS.get(language)
+    public = set(re.findall(r"[A-Za-z_][\w$']*", " ".join(listed.findall(content)))) if listed else set()
+    limited = bool(listed and listed.search(content))
+    for i, row in enumerate(rows):
+        if row.strip().startswith(COMMENT[language]):
+            notes.append(row.strip().lstrip("-%;(*# |").removesuffix("*)").strip())
+            continue
+        m, s = start.match(row), sign.match(row) if sign else None
+        if s and not m:
+            at = None
+            continue
+        if m:
+            name, given = m[1], m[2] or ""
+            params = [x.strip() for x in (given.split(",") if language == "erlang" else given.split()) if x.strip()]
+            if name not in found:
+                found[name] = [i, i, params, next((n for n in notes if n), "")]
+            at = name
+        elif row[:1].strip() and language != "asm":
+            at = None
+        if at and row.strip():
+            found[at][1] = i
+        if row.strip():
+            notes = []
+    for name, (first, last, params, note) in found.items():
+        tokens = re.findall(r"[A-Za-z_][\w']*|\d+|[^\s\w]", "\n".join(rows[first : last + 1]))
+        shape = ["n" if t[0].isalpha() or t[0] == "_" else "d" if t[0].isdigit() else t for t in tokens]
+        hidden = name not in public if limited or language == "asm" else False
+        yield name, first + 1, last + 1, params, note, 1 + sum(bool(BRANCH.fullmatch(t)) for t in tokens), hidden, "".join(shape), len(shape)
+
+
 def functions(files: DataFrame) -> DataFrame:
     """files (node_id, language, content) to functions, in the order of lines; a file that cannot be parsed gives none."""
 
@@ -72,7 +119,7 @@ def functions(files: DataFrame) -> DataFrame:
             out = []
             for i, lang, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 try:
-                    found = list(_python(text or "") if lang == "python" else _blocks(text or "", lang or ""))
+                    found = list(_python(text or "") if lang == "python" else _clauses(text or "", lang) if lang in CLAUSES else _blocks(text or "", lang or ""))
                 except (SyntaxError, ValueError, RecursionError):
                     found = []
                 out += [(i, *x) for x in sorted(found, key=lambda x: (x[1], x[0]))]

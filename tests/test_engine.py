@@ -166,3 +166,21 @@ def test_views(spark):
     assert rows(V.load_states(p).select("repo", "state", "twice")) == [("r/a", "ondemand", True), ("r/a", "trigger", True), ("r/b", "startup", False)]
     fn = spark.createDataFrame([("useThing",), ("useless",), ("M.useX",)], "fn_name string")
     assert rows(V.hooks(fn)) == [("M.useX",), ("useThing",)]
+
+
+def test_lexers_of_clauses(spark):
+    files = [
+        ("h", "haskell", "module A (area, Shape(..)) where\nimport Data.List\ndata X = Y\n\n-- | The area.\narea :: Double -> Double\narea r = pi * r\n\nhide x\n  | x > 1 = 1\n  | otherwise = 0\n"),
+        ("o", "ocaml", "(* Adds. *)\nlet rec add a b =\n  if a = 0 then b else add (a - 1) b\n\nlet limit = 3\n"),
+        ("e", "erlang", "-module(m).\n-export([go/2]).\n%% Runs.\n-spec go(term(), term()) -> ok.\ngo(A, [B]) when A > 1 ->\n    help(A);\ngo(_, _) ->\n    ok.\nhelp(X) ->\n    X.\n"),
+        ("s", "asm", ".globl main\n; Starts.\nmain:\n    mov eax, 1\n    ret\nlocal1:\n    ret\n"),
+        ("c", "scala", "object A {\n  def twice(n: Int): Int = {\n    n * 2\n  }\n}\n"),
+    ]
+    got = {(r.node_id, r.fn_name): (r.line, r.line_end, r.params, r.summary, r.internal) for r in lexers.functions(spark.createDataFrame(files, "node_id string, language string, content string")).collect()}
+    assert got == {
+        ("h", "area"): (7, 7, ["r"], "The area.", False), ("h", "hide"): (9, 11, ["x"], "", True),
+        ("o", "add"): (2, 3, ["a", "b"], "Adds.", False),
+        ("e", "go"): (5, 8, ["A", "[B]"], "Runs.", False), ("e", "help"): (9, 10, ["X"], "", True),
+        ("s", "main"): (3, 5, [], "Starts.", False), ("s", "local1"): (6, 7, [], "", True),
+        ("c", "twice"): (2, 4, ["n"], "", False),
+    }
