@@ -23,7 +23,7 @@ SQL: dict[str, str] = {
         UNION ALL SELECT node_id, CAST(1000 + k AS BIGINT), 'module', 's' || CAST(k AS STRING), path, language, module, summary, parent_id, 3 FROM modules""",
     "steps": """SELECT l_orderkey AS o, l_linenumber AS line, l_suppkey AS s, l_partkey AS p, l_returnflag AS flag,
         lead(l_suppkey) OVER w AS s2, lead(l_partkey) OVER w AS p2, l_orderkey * 100 + row_number() OVER w AS seq
-        FROM lineitem WHERE l_orderkey % 500 < 2 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)""",
+        FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)""",
     "requires_raw": """SELECT a.node_id, seq, CASE WHEN p % 11 = 0 THEN 'ext.lib' || CAST(p % 4 AS STRING) ELSE b.module END AS module, flag = 'R' AS deferred, line
         FROM steps JOIN modules a ON s = a.k JOIN modules b ON s2 = b.k""",
     "edges": """SELECT DISTINCT a.node_id AS src, b.node_id AS dst FROM steps JOIN modules a ON s = a.k JOIN modules b ON s2 = b.k WHERE a.k <> b.k AND p % 11 <> 0""",
@@ -39,14 +39,14 @@ SQL: dict[str, str] = {
     "commits": """SELECT DISTINCT o_orderkey AS sha, CAST(o_orderdate AS DATE) AS day, o_custkey AS author, m.path FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN modules m ON l_suppkey = m.k""",
     "telemetry": """SELECT 'f' || CAST((user_id * 13 + event_id % 7) % (SELECT count(*) FROM part) AS STRING) AS name, (user_id * 13 + event_id % 7) % (SELECT count(*) FROM part) AS k, event_type, CAST(ts AS DATE) AS day, ts, value FROM events""",
     "runtime": "SELECT f.fn_key, f.node_id, count(*) AS calls FROM telemetry t JOIN fns f ON t.k = f.k GROUP BY f.fn_key, f.node_id",
-    "hunks": "SELECT m.path, m.node_id, CAST(l_orderkey AS BIGINT) AS sha, CAST(l_quantity * 3 AS BIGINT) AS first, CAST(l_quantity * 3 AS BIGINT) + l_linenumber AS last FROM lineitem JOIN modules m ON l_suppkey = m.k WHERE l_orderkey % 200 = 3",
+    "hunks": "SELECT m.path, m.node_id, CAST(l_orderkey AS BIGINT) AS sha, CAST(l_quantity * 3 AS BIGINT) AS first, CAST(l_quantity * 3 AS BIGINT) + l_linenumber AS last FROM lineitem JOIN modules m ON l_suppkey = m.k",
     "bindings": "SELECT event_id, CASE WHEN event_type = 'click' THEN 'n,v' WHEN event_type = 'view' THEN 'n' ELSE 'i' END AS modes, '<leader>' || CAST(user_id % 40 AS STRING) AS lhs, event_id % 9 = 0 AS buffer_local, CAST(user_id % 17 AS STRING) || ':' || CAST(event_id % 23 AS STRING) AS site FROM events",
     "markdown": """SELECT doc_id, '# Notes ' || CAST(doc_id AS STRING) || chr(10) || 'Uses `pkg.' || lower(r_name) || '.' || lower(n_name) || '.s' || CAST(k AS STRING) || '.f' || CAST(doc_id % 50 AS STRING) || '` and `helper' || CAST(doc_id % 37 AS STRING) || '` well.' || chr(10)
         || CASE doc_id % 5 WHEN 0 THEN '-- TODO: check ' || CAST(doc_id AS STRING) WHEN 1 THEN '-- FIXME(ann): bad case' WHEN 2 THEN '-- `TODO: quoted` NOTE: see above' WHEN 3 THEN 'plain text' ELSE '-- HACK: short cut' END || chr(10)
         || 'See [home](../s' || CAST(k AS STRING) || '.md#top) or [old](./gone' || CAST(doc_id % 3 AS STRING) || '.md).' AS content, path AS near
         FROM (SELECT doc_id, k, path, split_part(path, '/', 1) AS r_name, split_part(path, '/', 2) AS n_name FROM (SELECT doc_id, doc_id % (SELECT count(*) FROM supplier) AS mk FROM documents) d JOIN modules ON d.mk = k) x""",
     "checklist": """SELECT o_orderkey AS item, 'docs/list' || CAST(o_custkey % 5 AS STRING) || '.md' AS file, o_orderkey AS line, CASE WHEN o_orderkey % 4 = 0 THEN CAST(NULL AS STRING) ELSE m.path END AS ref, CASE WHEN o_orderkey % 3 = 0 THEN CAST(NULL AS DATE) ELSE CAST(o_orderdate AS DATE) END AS verified, o_orderstatus = 'F' AS done
-        FROM (SELECT *, o_orderkey % (SELECT count(*) FROM supplier) AS mk FROM orders WHERE o_orderkey % 50 = 7 OR o_orderkey % 50 = 8) q JOIN modules m ON q.mk = m.k""",
+        FROM (SELECT *, o_orderkey % (SELECT count(*) FROM supplier) AS mk FROM orders) q JOIN modules m ON q.mk = m.k""",
     "luafiles": """SELECT fn_key AS node_id, k, 'local dep = require("' || language || '.dep' || CAST(k % 9 AS STRING) || '")' || chr(10) || 'local LIMIT = ' || CAST(k AS STRING) || chr(10) || 'local opts = ' || chr(123) || chr(125) || chr(10) || 'local M = ' || chr(123) || chr(125) || chr(10)
         || '--- Makes item ' || CAST(k AS STRING) || '. More is said here.' || chr(10) || '---@param a' || CAST(k % 3 AS STRING) || ' string The first.' || chr(10) || '---@see ' || fn_name || ', helper' || CAST(k % 37 AS STRING) || chr(10)
         || CASE WHEN k % 4 = 0 THEN '---@todo tidy ' || CAST(k AS STRING) || chr(10) ELSE '' END || CASE WHEN k % 7 = 0 THEN '---@deprecated use another' || chr(10) ELSE '' END || '---@example' || chr(10) || '--- run(' || CAST(k AS STRING) || ')' || chr(10)

@@ -184,3 +184,25 @@ def test_lexers_of_clauses(spark):
         ("s", "main"): (3, 5, [], "Starts.", False), ("s", "local1"): (6, 7, [], "", True),
         ("c", "twice"): (2, 4, ["n"], "", False),
     }
+
+
+def test_adapters_keep_every_row(spark, tmp_path):
+    """No order or line is left out of the code base, whatever its key."""
+    from sparkloom.sources.adapters import Tables
+
+    keys = [1, 2, 7, 203, 499, 500, 501]
+    made = {
+        "region": ([(0, "ASIA")], "r_regionkey long, r_name string"),
+        "nation": ([(0, "CHINA", 0)], "n_nationkey long, n_name string, n_regionkey long"),
+        "supplier": ([(k, f"S{k}", 0, 1.0) for k in range(3)], "s_suppkey long, s_name string, s_nationkey long, s_acctbal double"),
+        "orders": ([(k, 1, "2024-01-01", "F") for k in keys], "o_orderkey long, o_custkey long, o_orderdate string, o_orderstatus string"),
+        "lineitem": ([(k, n, n, n, "R", 1.0, 1.0, 0.0, 0.0) for k in keys for n in (0, 1)], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_returnflag string, l_quantity double, l_extendedprice double, l_discount double, l_tax double"),
+    }
+    for name, (data, schema) in made.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    t = Tables(spark, str(tmp_path))
+    every = sorted((k, n) for k in keys for n in (0, 1))
+    assert sorted((r.o, r.line) for r in t.steps.collect()) == every
+    assert sorted((r.sha, r.node_id) for r in t.hunks.collect()) == [(k, f"S{n}") for k, n in every]
+    assert sorted(r.item for r in t.checklist.collect()) == keys
+    assert t.requires_raw.count() == len(keys)
