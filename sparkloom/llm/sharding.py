@@ -63,11 +63,31 @@ def propagate(blocks: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> D
     return blocks.select("g", "s", "n")
 
 
+def laid_out(groups: DataFrame, shards: int) -> DataFrame:
+    """Blocks (g, s, n) of groups (g, n) laid end to end in pseudorandom order over shards of equal size: one group at most is cut at each border.
+
+    Offsets come from sums of hash buckets of groups, so a group with a third of all rows is one row here.
+    """
+    dealt = groups.withColumn("b", F.pmod(F.xxhash64("g"), F.lit(8192)).cast("int"))
+    counts = stored(dealt.groupBy("b").agg(F.sum("n").alias("m")), "offsets")
+    total = counts.agg(F.sum("m")).head()[0] or 0
+    ends, at = [], 0
+    for s in range(shards):
+        at += total // shards + (s < total % shards)
+        ends.append(at)
+    offsets = counts.select("b", F.coalesce(F.sum("m").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
+    inside = F.sum("n").over(Window.partitionBy("b").orderBy("g").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    placed = dealt.join(F.broadcast(offsets), "b").withColumn("from", F.col("o") + inside).withColumn("to", F.col("from") + F.col("n"))
+    lows, highs = _list([0, *ends[:-1]]), _list(ends)
+    cut = F.transform(highs, lambda e, s: F.struct(s.alias("s"), (F.least(e, F.col("to")) - F.greatest(F.get(lows, s), F.col("from"))).alias("n")))
+    return placed.select("g", F.explode(F.filter(cut, lambda x: x["n"] > 0)).alias("x")).select("g", F.col("x.s").cast("int").alias("s"), F.col("x.n").alias("n"))
+
+
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for each row: law `rows`, equal texts kept together.
 
-    Sizes by shard differ by one row at most, exactly: linked documents (texts that occur more than once) take part
-    in the propagation under those quotas, documents without a link have no edge to cut and fill what is left.
+    Sizes by shard differ by one row at most, exactly: linked documents (texts that occur more than once) start
+    as whole groups, but for those at a border, and take part in the propagation under those quotas, documents without a link have no edge to cut and fill what is left.
     slot numbers a shard's rows from 0. Null text counts as empty. Repeated rows get slots of their own. An empty
     table gives no rows. Only id and text are read from docs.
     """
@@ -77,8 +97,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     linked, alone = rows.where("n > 1"), rows.where("n = 1")
-    spread = ranked(linked.select("g", "id"), [], ["id", "g"], "p", 8192)
-    start = stored(spread.groupBy("g", F.pmod(F.col("p"), F.lit(shards)).cast("int").alias("s")).agg(F.count(F.lit(1)).alias("n")), "start")
+    start = stored(laid_out(linked.where("r = 0").select("g", "n"), shards), "start")
     blocks = propagate(start, quota, rounds)
     loads = _loads(blocks, shards)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy(F.desc("n"), "s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
