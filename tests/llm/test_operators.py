@@ -298,6 +298,16 @@ def test_quality(docs, none):
     assert quality(none).isEmpty()
 
 
+def test_quality_bands_reject_labelled_junk(spark):
+    """Of labelled documents that pass the base rules the bands reject half the junk and few clean ones."""
+    from sparkloom.llm.quality import quality
+
+    found = quality(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("not base_failed")
+    both = found.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").select("quality", "kept").collect()
+    junk, clean = ([r.kept for r in both if r.quality == q] for q in (0, 1))
+    assert junk.count(False) >= len(junk) / 2 and clean.count(False) <= 0.03 * len(clean)
+
+
 def test_kneser_ney_sums_to_one(docs):
     from pyspark.sql import functions as F
 
