@@ -44,6 +44,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def row_key(*cols: str):
+    """A digest of some columns that tells rows apart, nulls from values too: 32 bytes, never null."""
+    text = [F.col(c).cast("string") for c in cols]
+    return F.unhex(F.sha2(F.concat(*[F.when(t.isNull(), "n").otherwise(F.concat(F.length(t).cast("string"), F.lit(":"), t)) for t in text]), 256))
+
+
 def held_out(id_col) -> F.Column:
     """True where crc32 of the id, written as text, leaves no remainder by 5."""
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.llm.common import WORD
+from sparkloom.llm.common import WORD, row_key
 
 #: Weights of the sources by code point, null last, repeating; the words they share, as a part of all; the most a source gives, in times its size.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -99,36 +99,37 @@ def draws(counts: list[int], per_shard: int = SHARD_SLOTS, seed: int = SEED) ->
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, block: int = BLOCK, per_shard: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """The mix, and the sources: (shard, slot, source number, block, epoch, id, first word, words), (id, size, sid, source_size, target).
+    """The mix, and the sources: (shard, slot, source number, block, epoch, id, first word, words, key), (key, id, size, sid, source_size, target).
 
     Each source's words form one stream (documents in pseudorandom order), cut into blocks of `block` words; a
     document stands in the blocks it overlaps. Offsets in the stream come from sums of hash buckets, so a source
     with a third of all rows is no single task's work. What reaches the driver is a row for each source. Slot k of
     a source is block perm(k mod blocks) of epoch k div blocks, so no block is drawn more than twice, and the last
     slot is cut so that a source gives its target to the word. Null text has no words; documents without words
-    are never drawn; rows with one id and source are one document (sizes add up). An empty table gives no rows.
+    are never drawn; rows are told apart by key, a digest of id, source and text, so those without an id and other texts
+    under one id are documents of their own; rows that repeat all three are one document (sizes add up). An empty table gives no rows.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(row_key(id_col, source_col, text_col).alias("k"), F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     from sparkloom.llm.common import stored
 
-    sized = stored(sized.groupBy("id", "source").agg(F.sum("size").alias("size")), "sizes")
+    sized = stored(sized.groupBy("k", "id", "source").agg(F.sum("size").alias("size")), "sizes")
     rows = sorted(sized.groupBy("source").agg(F.sum("size").alias("n")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["n"] for r in rows]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share)
     table = spark.createDataFrame([(i, r["source"], n, a) for i, (r, n, a) in enumerate(zip(rows, sizes, aims, strict=True))], "sid int, source string, source_size long, target double")
     table = F.broadcast(table) if len(rows) <= 100_000 else table
-    known = sized.join(table.withColumnRenamed("source", "_s"), sized.source.eqNullSafe(F.col("_s"))).select("id", "size", "sid", "source_size", "target")
-    dealt = known.where("size > 0").withColumn("b", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(BUCKETS)))
+    known = sized.join(table.withColumnRenamed("source", "_s"), sized.source.eqNullSafe(F.col("_s"))).select("k", "id", "size", "sid", "source_size", "target")
+    dealt = known.where("size > 0").withColumn("b", F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(BUCKETS)))
     sums = dealt.groupBy("sid", "b").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select("sid", "b", before.alias("base"))
-    inside = F.sum("size").over(Window.partitionBy("sid", "b").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    inside = F.sum("size").over(Window.partitionBy("sid", "b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = dealt.join(sums, ["sid", "b"]).withColumn("at", F.col("base") + inside)
     first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
-    parts = placed.select("id", "sid", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
+    parts = placed.select("k", "id", "sid", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
     low, high = F.greatest(F.col("at"), F.col("block") * block), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
-    parts = parts.select("sid", "block", "id", (low - F.col("at")).alias("first"), (low - F.col("block") * block).alias("within"), (high - low).alias("words"))
+    parts = parts.select("k", "sid", "block", "id", (low - F.col("at")).alias("first"), (low - F.col("block") * block).alias("within"), (high - low).alias("words"))
 
     ends = [slots(n, a, i, block, seed) for i, (n, a) in enumerate(zip(sizes, aims, strict=True))]
     ranges = [(i, s, a, b, -(-sizes[i] // block), ends[i][0] - 1, ends[i][1]) for i, s, a, b in draws([e[0] for e in ends], per_shard, seed)]
@@ -149,26 +150,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = F.least(F.col("words"), F.col("most") - F.col("within"))
     #: A few ranges make many slots, which the planner cannot know: a broadcast of them would grow with the data.
     mixed = drawn.hint("merge").join(parts, ["sid", "block"]).withColumn("words", taken).where("words > 0")
-    return mixed.select("shard", "slot", "sid", "block", "epoch", "id", "first", "words"), known
+    return mixed.select("shard", "slot", "sid", "block", "epoch", "id", "first", "words", "k"), known
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each document (rows with one id and source are one)."""
+    """doc_id, size, source_size, target, taken of each document (rows with one id, source and text are one)."""
     mixed, known = mix(docs, **options)
-    both = known.select("id", "sid", "size", "source_size", "target", F.lit(0).cast("long").alias("words")).unionByName(
-        mixed.select("id", "sid", F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("source_size"), F.lit(None).cast("double").alias("target"), F.col("words").cast("long")))
-    out = both.groupBy("id", "sid").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("words").alias("taken"))
+    both = known.select("k", "id", "sid", "size", "source_size", "target", F.lit(0).cast("long").alias("words")).unionByName(
+        mixed.select("k", "id", "sid", F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("source_size"), F.lit(None).cast("double").alias("target"), F.col("words").cast("long")))
+    out = both.groupBy("k", "id", "sid").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("words").alias("taken"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """docs as the mix takes them, one row for each: text is what is taken, in order, that of the second draw after a line break.
 
-    Documents of which nothing is taken go. Other columns stay; n_chars, where there, follows the text.
+    Documents of which nothing is taken go. Rows are told apart by id, source and text, and need no id; rows that
+    repeat all three are one, with what is taken of all of them. Other columns stay; n_chars, where there, follows the text.
     """
     mixed, _ = mix(docs, id_col, text_col, source_col, **options)
-    runs = mixed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("epoch", "first", "words"))).alias("_runs"))
-    joined = docs.join(runs, docs[id_col].cast("long") == runs["id"]).drop(runs["id"])
+    runs = mixed.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("epoch", "first", "words"))).alias("_runs"))
+    once = docs.withColumn("_key", row_key(id_col, source_col, text_col)).dropDuplicates(["_key"])
+    joined = once.join(runs.withColumnRenamed("k", "_key"), "_key")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, of: pd.Series) -> pd.Series:
@@ -185,7 +188,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     merged[-1][2] = b
                 else:
                     merged.append([e, a, b])
-            return "\n".join(t[spans[a][0] : spans[min(b, len(spans)) - 1][1]] for _, a, b in merged if a < len(spans))
+            n, out = len(spans), []
+            for _, a, b in merged:
+                while a < b:  # past the last word the next copy of a repeated row begins
+                    end = min(b, (a // n + 1) * n)
+                    out.append(t[spans[a % n][0] : spans[(end - 1) % n][1]])
+                    a = end
+            return "\n".join(out)
 
         return pd.Series([one(t, p) for t, p in zip(text, of, strict=True)], dtype=object)
 

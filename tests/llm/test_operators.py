@@ -226,6 +226,23 @@ def test_mixing(docs, none):
     assert words == sum(r.taken for r in mix_report(docs, block=16).collect())
 
 
+def test_mixing_tells_rows_apart(spark):
+    """Rows without an id and other texts under one id give the words that are drawn of them, each its own."""
+    from sparkloom.llm.mixing import mix, mixed_documents
+
+    text = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(None, text("a", 50), "x"), (None, text("b", 70), "x"), (None, text("c", 40), None), (1, text("d", 90), "x"), (1, text("e", 30), "x"), (1, text("f", 20), "y"), (2, text("g", 60), "y"), (2, text("g", 60), "y"), (3, None, "x"), (4, "", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixed_documents(d, block=8).collect()
+    drawn = mix(d, block=8)[0].collect()
+    assert sum(len(r.text.split()) for r in got) == sum(r.words for r in drawn) and all(r.text for r in got)
+    of = {}
+    for r in drawn:
+        of[bytes(r.k)] = of.get(bytes(r.k), 0) + r.words
+    assert sorted(of.values()) == sorted(len(r.text.split()) for r in got)
+    assert {(r.doc_id, r.source, w[0]) for r in got for w in r.text.split()} == {(i, s, t[0]) for i, t, s in rows if t}
+
+
 def test_sharding(docs, none):
     from sparkloom.llm.sharding import shard
 
