@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm.common import stored
+from sparkloom.llm.common import row_key, stored
 from sparkloom.llm.exact_dedup import exact_dedup
 from sparkloom.llm.mixing import mixed_documents
 from sparkloom.llm.packing import pack
@@ -15,10 +15,11 @@ from sparkloom.llm.toxicity import fit, scores
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier (fitted on labelled rows that are not held out) rejects go; null ids stay."""
+    """Documents that the classifier (fitted on labelled rows that are not held out) rejects go, each row by its own text, with an id or without."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    marks = scores(docs, model).where("predicted = 1").select("doc_id").distinct().withColumnRenamed("doc_id", "_toxic")
-    return docs.join(marks, docs.doc_id == marks["_toxic"], "left_anti")
+    keyed = docs.withColumn("_row", row_key("doc_id", "text"))
+    marks = scores(keyed, model, id_col="_row").where("predicted = 1").select("_row").distinct()
+    return keyed.join(marks, "_row", "left_anti").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -298,6 +298,20 @@ def test_language_and_toxicity(spark, none):
     assert langid.predict(none, langid.fit(none)).isEmpty()
 
 
+def test_pipeline_removes_toxic_rows_by_their_own_text(spark, tmp_path):
+    """A toxic row without an id goes, and a clean one stays under the id of a toxic one."""
+    import corpus_pipeline as c
+
+    r = random.Random(1)
+    text = lambda bad: " ".join(r.choices(["the", "and", "shall", "with", "thing"], k=20)) + (" idiot" if bad else "")
+    rows = [(i, text(i % 4 == 0)) for i in range(300)] + [(None, text(True)), (None, text(False)), (1001, text(True)), (1001, text(False))]
+    spark.createDataFrame([(i, i % 4 == 0) for i in range(300)], "doc_id long, bad boolean").selectExpr("doc_id", "0 as quality", "int(bad) as toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = c.toxicity(spark, d, str(tmp_path))
+    assert got.columns == d.columns
+    assert sorted(map(tuple, got.where("doc_id is null or doc_id > 1000").collect()), key=str) == sorted((rows[301], rows[303]), key=str)
+
+
 def test_quality(docs, none):
     from sparkloom.llm.quality import base_counts, quality
 
