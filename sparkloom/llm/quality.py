@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.llm.common import stored
+from sparkloom.llm.common import row_key, stored
 from sparkloom.llm.hasharray import Counts, HashArray
 
 ORDER = 5
@@ -205,8 +205,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     own) has its model and its band, and the model grows with what differs in the corpus. The band of a language is
     its quartiles of log perplexity, over documents that pass the base rules, widened by `band` quartile distances
     (at least a tenth of a nat each) on either side. The model goes to the executors when it has at most `sent`
-    n-grams, a bound that is checked; beyond, documents are scored by joins (rows with equal ids then share the sum
-    of theirs).
+    n-grams, a bound that is checked; beyond, documents are scored by joins, each row by its own text there too.
 
     Null text has no words and fails. An empty text has perplexity null, and fails by the base rules. Repeated rows
     each give a row; an empty table none. Only id, text and lang are read from docs.
@@ -219,9 +218,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         model = Model([(_fetched(p, "p"), _fetched(g, "g")) for p, g in orders])
         facts = stored(_facts(rows, langs, rows.sparkSession.sparkContext.broadcast(model)), "facts")
     else:
-        plain, sums = _facts(rows, langs, None), joined_nats(rows, langs, orders)
-        whole = Window.partitionBy("id")
-        facts = stored(plain.withColumn("copies", F.count(F.lit(1)).over(whole)).join(sums.withColumnRenamed("id", "_i"), F.col("id").eqNullSafe(F.col("_i")), "left").withColumn("nats", F.col("sum") / F.col("copies")).drop("_i", "sum", "copies"), "facts")
+        key = row_key("id", "lang", "text")
+        plain = stored(_facts(rows.select(F.struct("id", key.alias("k")).alias("id"), "lang", "text"), langs, None), "plain")
+        sums = joined_nats(rows.select(key.alias("id"), "lang", "text"), langs, orders)
+        copies = plain.groupBy(F.col("id.k").alias("_k")).agg(F.count(F.lit(1)).alias("copies"))
+        each = sums.join(copies, sums["id"] == copies["_k"]).select("_k", (F.col("sum") / F.col("copies")).alias("nats"))
+        scored = plain.drop("nats").join(each, F.col("id.k") == F.col("_k"), "left")
+        facts = stored(scored.withColumn("id", F.col("id.id")).drop("_k"), "facts")
     facts = facts.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumn("log", F.when(F.col("bytes") > 0, -F.col("nats") / F.col("bytes")))
     spread = facts.where("not base_failed").groupBy("lang").agg(F.percentile_approx("log", [0.25, 0.75], 10000).alias("q"))
     wide = F.greatest(F.get("q", 1) - F.get("q", 0), F.lit(0.025)) * band

@@ -329,6 +329,17 @@ def test_quality(docs, none):
     assert quality(none).isEmpty()
 
 
+def test_quality_joined_with_shared_and_null_ids(spark):
+    """Rows are scored by their own text on either path, whatever their ids."""
+    from sparkloom.llm.quality import quality
+
+    texts = ["alpha beta gamma delta " * 15, "zz##qq " * 60, "one two three four five six " * 12, "alpha beta gamma delta " * 15, ""]
+    rows = [(i, t, lang) for i in (None, 1) for t in texts for lang in ("en", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a, b = (sorted(((str(r.doc_id), r.n_symbols, r.n_words, r.kept, round(r.perplexity or 0, 3)) for r in quality(d, sent=x).collect())) for x in (10**9, 0))
+    assert len(a) == len(rows) and a == b
+
+
 def test_quality_bands_reject_labelled_junk(spark):
     """Of labelled documents that pass the base rules the bands reject half the junk and few clean ones."""
     from sparkloom.llm.quality import quality
