@@ -17,13 +17,36 @@ PATTERNS = {
     "iban": r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9])+",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
+#: Lengths of account numbers by country.
+LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+_OF_LENGTH = "(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in LENGTHS.items()) + ")(?![A-Za-z0-9])"
 #: The same languages with possessive repeats: no recursion on long runs, no second try from inside a run.
+#: Account numbers end at their country's length where one is there, so a word in capitals after them does not spoil them.
 LINEAR = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9])++",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_OF_LENGTH}|[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{_OF_LENGTH})\x20?[A-Z0-9])++)",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
 #: What a match must look like whole, beside the checksums.

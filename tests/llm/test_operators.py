@@ -106,6 +106,17 @@ def test_pii(docs, none, spark):
     assert pii_report(none).isEmpty()
 
 
+def test_account_numbers_before_capitals(spark):
+    """A valid account number is found whatever word follows it."""
+    from sparkloom.llm.pii import pii_spans
+
+    gb, de = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"
+    texts = [f"IBAN {gb} Please pay", f"IBAN {gb} BIC ABCDEFGH", f"IBAN {gb} {de} X", f"pay AB12 {de} NOW", f"{gb}", f"IBAN {gb[:-1]}3 BIC", f"X{de} a", f"{de}x"]
+    want = [[gb], [gb], [gb, de], [de], [gb], [], [], []]
+    found = pii_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [[r.text[x.start : x.end] for x in r.spans if x.kind == "iban"] for r in sorted(found)] == want
+
+
 def test_simhash(docs, none):
     from sparkloom.llm import simhash as m
 
