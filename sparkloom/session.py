@@ -79,7 +79,7 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
     try:
         yield kept
     finally:
-        _open.remove(made)
+        _open.pop()
         stay = {getattr(df, "_loom_path", None) for df in kept}
         for path in made:
             if path not in stay:
