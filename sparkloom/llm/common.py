@@ -2,46 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.session import dropped, scratch, shared_dir, stored
+
+__all__ = ["WORD", "components", "documents", "dropped", "held_out", "named", "plain", "ranked", "row_key", "scratch", "shared_dir", "stored", "tie"]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset (tests), a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._loom_path = path
-    return back
+def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ..., and which name each has: no column of a user's can clash with one made inside."""
+    of = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*of.values()), of
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete what stored() wrote, when nothing reads it any more."""
-    path = getattr(df, "_loom_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+def named(df: DataFrame, of: dict[str, str]) -> DataFrame:
+    """The columns c0, c1, ... of df, under the names they had."""
+    return df.select(*of.values()).toDF(*of)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def tie(df: DataFrame, names: list[str]):
+    """A hash of some columns, to order rows that are alike in all else; columns that cannot be hashed are left out."""
+    return F.xxhash64(F.lit(0), *[F.col(c) for c in names if not any(x in df.schema[c].dataType.simpleString() for x in ("map<", "variant"))])
 
 
 def row_key(*cols: str):

@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import named, plain, tie
+
 
 def content_hash(text):
     return F.unhex(F.md5(text))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", digest=content_hash) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256.
+    """One row for each row of docs: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are; grouping on (hash, text) compares the bytes inside each hash group, so
     texts whose hashes collide stay apart. `keep` is min or max of the ids. The map side counts copies before
     the shuffle, so a group with a third of all rows arrives as a row for each task; the join back to the
-    documents moves ids and digests only, and its large keys are split by adaptive execution.
+    documents moves ids and digests (MD5 and SHA-256) only, and its large keys are split by adaptive execution.
 
-    Null text counts as empty. Rows that repeat both id and text are one document, in one row (group_size counts
-    them all). A null id stays only where its group has no other. An empty table gives no rows. Other columns of
-    docs are not read, whatever their names.
+    Null text counts as empty. Rows that repeat both id and text give a row each, all alike, and count each. A
+    null id stays only where its group has no other. An empty table gives no rows. Other columns of docs are not
+    read, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows, of = plain(docs)
+    rows = rows.select(F.col(of[id_col]).alias("_id"), F.coalesce(F.col(of[text_col]), F.lit("")).alias("_text"))
     marked = rows.select("_id", "_text", digest(F.col("_text")).alias("_h"))
     best = F.max("_id") if keep == "max" else F.min("_id")
     groups = marked.groupBy("_h", "_text").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size")).select("_h", F.unhex(F.sha2("_text", 256)).alias("_sha"), "keep_id", "group_size")
-    each = marked.select("_id", "_h", F.unhex(F.sha2("_text", 256)).alias("_sha")).distinct()
+    each = marked.select("_id", "_h", F.unhex(F.sha2("_text", 256)).alias("_sha"))
     return each.join(groups, ["_h", "_sha"]).select(
         F.col("_id").alias(id_col),
         "keep_id",
@@ -37,14 +40,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", digest=content_hash) -> DataFrame:
-    """The rows of docs that exact_groups keeps, with all their columns; rows that repeat id and text stay once.
+    """One row of docs for each text, with all its columns: the one that exact_groups keeps.
 
-    Rows are told apart by id and text, so another text under the same id, or without an id, is not lost with a copy.
+    Rows are grouped as there, by (hash, text), and the group itself carries the row that stays, so a text is moved
+    once, after a map-side choice, and nothing is joined. Another text under the same id, or without an id, is a
+    group of its own. Of rows that repeat id and text the least by a hash of the other columns stays; a null id
+    stays only where its group has no other; null and empty texts are one group. Any column names do.
     """
-    gone = exact_groups(docs, id_col, text_col, keep, digest).where("not kept").select(F.col(id_col).alias("_gone"), F.unhex("text_sha256").alias("_gone_sha"))
-    once = docs.withColumn("_own_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))).dropDuplicates([id_col, "_own_sha"])
-    stay = once.join(gone, once[id_col].eqNullSafe(gone["_gone"]) & (once["_own_sha"] == gone["_gone_sha"]), "left_anti")
-    return stay.drop("_own_sha")
+    rows, of = plain(docs)
+    i, t = of[id_col], of[text_col]
+    others = [c for c in of.values() if c != t]
+    rows = rows.withColumn("_text", F.coalesce(F.col(t), F.lit(""))).withColumn("_none", F.col(t).isNull())
+    order = F.struct(F.col(i).isNotNull() if keep == "max" else F.col(i).isNull(), F.col(i), tie(rows, others), F.col("_none"))
+    best = (F.max_by if keep == "max" else F.min_by)(F.struct(*others, "_none"), order)
+    groups = rows.withColumn("_h", digest(F.col("_text"))).groupBy("_h", "_text").agg(best.alias("_row"))
+    text = F.when(F.col("_row._none"), None).otherwise(F.col("_text"))
+    return named(groups.select(*[F.col(f"_row.{c}").alias(c) for c in others], text.alias(t)), of)
 
 
 ORACLE = """

@@ -7,13 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import held_out
+from sparkloom.llm.common import held_out, stored
 from sparkloom.llm.hasharray import Counts, HashArray
 
 ORDER = 3
 #: About so many training documents of each language, the first by a hash of their ids; whole texts.
 PER_LANGUAGE = 1500
 STEP = 1 << 20
+#: Parts of the hash by which rows are chosen; the most languages whose totals are broadcast.
+SCALE, BROADCAST = 1 << 30, 100_000
 
 
 def _grams(text: str, order: int = ORDER):
@@ -33,12 +35,10 @@ def _grams(text: str, order: int = ORDER):
 def _sample(docs: DataFrame, lang_col: str, id_col: str, per_language: int) -> DataFrame:
     """Training rows: not held out, with text and language; about per_language of each, by a hash of the id."""
     rows = docs.where(~held_out(F.col(id_col))).where(F.col(lang_col).isNotNull() & F.col("text").isNotNull())
-    totals = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
-    scale = 1 << 30
-    part = F.lit(0)
-    for lang, n in sorted(totals.items()):
-        part = F.when(F.col(lang_col) == lang, int(scale * min(1.0, per_language / n))).otherwise(part)
-    return rows.where(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(scale)) < part)
+    totals = stored(rows.groupBy(lang_col).count().withColumnRenamed("count", "many"), "totals")
+    totals = F.broadcast(totals) if totals.count() <= BROADCAST else totals
+    part = F.least(F.lit(1.0), F.lit(per_language) / F.col("many")) * SCALE
+    return rows.join(totals, lang_col).where(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(SCALE)) < F.floor(part)).drop("many")
 
 
 class Trees:

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.llm.common import WORD, row_key
+from sparkloom.llm.common import WORD, named, plain, row_key, stored, tie
 
 #: Weights of the sources by code point, null last, repeating; the words they share, as a part of all; the most a source gives, in times its size.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK, SHARD_SLOTS, SEED, BUCKETS = 256, 16384, 20240229, 256
+#: A hash bucket of a source for each 2^26 words of all, BUCKETS at least.
+WORDS_BITS = 26
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
@@ -81,29 +83,58 @@ def slots(size: int, target: float, source: int, block: int = BLOCK, seed: int =
     return int(epochs * count + n), int(rest - words(n - 1))
 
 
-def draws(counts: list[int], per_shard: int = SHARD_SLOTS, seed: int = SEED) -> list[tuple[int, int, int, int]]:
-    """(source, shard, first slot, end slot): multinomial source counts of each output shard, given the sources' totals.
+def _taken(rng: np.random.Generator, left: np.ndarray, take: int) -> np.ndarray:
+    """How many of `take` items drawn from left[i] of each kind are of each kind: hypergeometric, kind after kind.
 
-    A multinomial draw conditioned on its totals is multivariate hypergeometric; it is drawn shard by shard.
+    Beyond a thousand million items, where numpy has no such draw, the normal law of the same mean and variance, rounded and kept possible.
     """
-    left, rng, out = np.array(counts, dtype=np.int64), np.random.default_rng(seed), []
-    used = np.zeros(len(counts), dtype=np.int64)
-    shards = max(1, -(-int(left.sum()) // per_shard)) if len(counts) else 0
-    for shard in range(shards):
-        total = int(left.sum())
-        take = total // (shards - shard) if shard < shards - 1 else total
-        got = left.copy() if take == total else rng.multivariate_hypergeometric(left, take, method="marginals")
-        out += [(i, shard, int(used[i]), int(used[i] + g)) for i, g in enumerate(got) if g]
-        used, left = used + got, left - got
+    out, rest = np.zeros(len(left), dtype=np.int64), int(left.sum())
+    for i, n in enumerate(map(int, left)):
+        others = rest - n
+        low, high = max(0, take - others), min(n, take)
+        if low == high:
+            got = low
+        elif rest < 1_000_000_000:
+            got = int(rng.hypergeometric(n, others, take))
+        else:
+            mean = take * n / rest
+            spread = np.sqrt(mean * (others / rest) * ((rest - take) / (rest - 1)))
+            got = min(high, max(low, int(round(rng.normal(mean, spread)))))
+        out[i], rest, take = got, others, take - got
     return out
 
 
+def draws(counts: list[int], shards: int, first: int, end: int, seed: int = SEED):
+    """(source, shard, first slot, end slot) of the shards from `first` to `end`: multinomial source counts of each, given the sources' totals.
+
+    A multinomial draw conditioned on its totals is multivariate hypergeometric. It is drawn down a binary tree of
+    ranges of shards, each node with a seed of its own, so any part of the shards can be drawn alone, anywhere, in
+    time that grows with that part and the tree's depth, and agrees with every other part.
+    """
+
+    def down(low: int, high: int, left: np.ndarray, used: np.ndarray):
+        if high <= first or low >= end:
+            return
+        if high - low == 1:
+            for i in np.nonzero(left)[0]:
+                yield int(i), low, int(used[i]), int(used[i] + left[i])
+            return
+        middle, total = (low + high) // 2, int(left.sum())
+        half = _taken(np.random.default_rng([seed, low, high]), left, total * (middle - low) // (high - low))
+        yield from down(low, middle, half, used)
+        yield from down(middle, high, left - half, used + half)
+
+    if shards and counts:
+        yield from down(0, shards, np.array(counts, dtype=np.int64), np.zeros(len(counts), dtype=np.int64))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, block: int = BLOCK, per_shard: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The mix, and the sources: (shard, slot, source number, block, epoch, id, first word, words, key), (key, id, size, sid, source_size, target).
 
     Each source's words form one stream (documents in pseudorandom order), cut into blocks of `block` words; a
     document stands in the blocks it overlaps. Offsets in the stream come from sums of hash buckets, so a source
-    with a third of all rows is no single task's work. What reaches the driver is a row for each source. Slot k of
+    with a third of all rows is no single task's work. What reaches the driver, and goes to the tasks, is a row for each
+    source, whose number is that of the weights to be met; the draws are made in the tasks. Slot k of
     a source is block perm(k mod blocks) of epoch k div blocks, so no block is drawn more than twice, and the last
     slot is cut so that a source gives its target to the word. Null text has no words; documents without words
     are never drawn; rows are told apart by key, a digest of id, source and text, so those without an id and other texts
@@ -111,8 +142,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     sized = docs.select(row_key(id_col, source_col, text_col).alias("k"), F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    from sparkloom.llm.common import stored
-
     sized = stored(sized.groupBy("k", "id", "source").agg(F.sum("size").alias("size")), "sizes")
     rows = sorted(sized.groupBy("source").agg(F.sum("size").alias("n")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["n"] for r in rows]
@@ -120,7 +149,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     table = spark.createDataFrame([(i, r["source"], n, a) for i, (r, n, a) in enumerate(zip(rows, sizes, aims, strict=True))], "sid int, source string, source_size long, target double")
     table = F.broadcast(table) if len(rows) <= 100_000 else table
     known = sized.join(table.withColumnRenamed("source", "_s"), sized.source.eqNullSafe(F.col("_s"))).select("k", "id", "size", "sid", "source_size", "target")
-    dealt = known.where("size > 0").withColumn("b", F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(BUCKETS)))
+    dealt = known.where("size > 0").withColumn("b", F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(max(BUCKETS, sum(sizes) >> WORDS_BITS))))
     sums = dealt.groupBy("sid", "b").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select("sid", "b", before.alias("base"))
@@ -132,19 +161,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     parts = parts.select("k", "sid", "block", "id", (low - F.col("at")).alias("first"), (low - F.col("block") * block).alias("within"), (high - low).alias("words"))
 
     ends = [slots(n, a, i, block, seed) for i, (n, a) in enumerate(zip(sizes, aims, strict=True))]
-    ranges = [(i, s, a, b, -(-sizes[i] // block), ends[i][0] - 1, ends[i][1]) for i, s, a, b in draws([e[0] for e in ends], per_shard, seed)]
-    given = spark.createDataFrame(ranges, "sid int, shard int, a long, b long, blocks long, end long, words long")
-    given = given.repartition(max(1, min(len(ranges), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    counts, many = [e[0] for e in ends], sum(e[0] for e in ends)
+    shards = -(-many // per_shard)
+    parts_of = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    given = spark.range(0, shards, 1, parts_of)
 
     def run(frames):
         for f in frames:
-            for x in f.itertuples(index=False):
-                k = np.arange(x.a, x.b)
+            at = f["id"].to_numpy()
+            for sid, shard, low, high in draws(counts, shards, int(at[0]), int(at[-1]) + 1, seed) if len(at) else ():
+                blocks, end = -(-sizes[sid] // block), ends[sid]
+                k = np.arange(low, high)
                 block_of = np.empty(len(k), dtype=np.int64)
-                for epoch in np.unique(k // x.blocks):
-                    of = k // x.blocks == epoch
-                    block_of[of] = permuted(k[of] % x.blocks, x.blocks, _key(x.sid, int(epoch), seed))
-                yield pd.DataFrame({"sid": np.int32(x.sid), "shard": np.int32(x.shard), "slot": k, "epoch": k // x.blocks, "block": block_of, "most": np.where(k == x.end, x.words, block)})
+                for epoch in np.unique(k // blocks):
+                    of = k // blocks == epoch
+                    block_of[of] = permuted(k[of] % blocks, blocks, _key(sid, int(epoch), seed))
+                yield pd.DataFrame({"sid": np.int32(sid), "shard": np.int32(shard), "slot": k, "epoch": k // blocks, "block": block_of, "most": np.where(k == end[0] - 1, end[1], block)})
 
     drawn = given.mapInPandas(run, "sid int, shard int, slot long, epoch long, block long, most long")
     taken = F.least(F.col("words"), F.col("most") - F.col("within"))
@@ -166,12 +198,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs as the mix takes them, one row for each: text is what is taken, in order, that of the second draw after a line break.
 
     Documents of which nothing is taken go. Rows are told apart by id, source and text, and need no id; rows that
-    repeat all three are one, with what is taken of all of them. Other columns stay; n_chars, where there, follows the text.
+    repeat all three are one (the least by a hash of the other columns), with what is taken of all of them. Other columns
+    stay, whatever their names; n_chars, where there, follows the text.
     """
-    mixed, _ = mix(docs, id_col, text_col, source_col, **options)
-    runs = mixed.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("epoch", "first", "words"))).alias("_runs"))
-    once = docs.withColumn("_key", row_key(id_col, source_col, text_col)).dropDuplicates(["_key"])
-    joined = once.join(runs.withColumnRenamed("k", "_key"), "_key")
+    rows, names = plain(docs)
+    i, t, source = names[id_col], names[text_col], names[source_col]
+    mixed, _ = mix(rows, i, t, source, **options)
+    runs = mixed.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("epoch", "first", "words"))).alias("runs"))
+    least = F.row_number().over(Window.partitionBy("k").orderBy(tie(rows, [c for c in names.values() if c != t])))
+    joined = rows.withColumn("k", row_key(i, source, t)).join(runs, "k").withColumn("at", least).where("at = 1")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, of: pd.Series) -> pd.Series:
@@ -198,7 +233,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return pd.Series([one(t, p) for t, p in zip(text, of, strict=True)], dtype=object)
 
-    out = joined.withColumn(text_col, cut(F.col(text_col), F.col("_runs")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = joined.withColumn(t, cut(F.col(t), F.col("runs")))
+    if "n_chars" in names:
+        out = out.withColumn(names["n_chars"], F.length(t).cast(docs.schema["n_chars"].dataType))
+    return named(out, names)

@@ -15,6 +15,8 @@ from sparkloom.llm.common import ranked, stored
 SIZE = 2048
 #: The word pieces a task keeps at most; beyond, it starts afresh (results do not depend on it).
 REMEMBERED = 400_000
+#: Pieces of a length are ranked in hash buckets of about so many at most.
+PER_BUCKET = 200_000
 
 
 class _Pieces(dict):
@@ -32,10 +34,11 @@ class _Pieces(dict):
 
 
 class Tokens:
-    """Ids of the 50k byte-level vocabulary: equal to those of its tokenizers file, made with its rank file."""
+    """Ids of the tokenizers file of the 50k byte-level vocabulary, its added token included; made with its rank file."""
 
-    def __init__(self, ranks_path: str | None = None):
+    def __init__(self, ranks_path: str | None = None, file_path: str | None = None):
         import base64
+        import json
         import re
 
         import public_tokenizers
@@ -43,11 +46,23 @@ class Tokens:
 
         with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(file_path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that strip or normalise what is near them are not known here")
+        self.added = {x["content"]: np.array([x["id"]], dtype="<u4").tobytes() for x in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else None
         self.plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.pieces = _Pieces(self.plain)
         self.odd = re.compile(r"\s [\s]|\s\s ").search
 
     def ids(self, text: str) -> bytes:
+        """The text is cut at added tokens first, as the library does; each part between them is encoded by itself."""
+        if any(x in text for x in self.added):
+            return b"".join(self.added[x] if i % 2 else self._part(x) for i, x in enumerate(self.cut(text)))
+        return self._part(text)
+
+    def _part(self, text: str) -> bytes:
         """A single space between two that are not white space always begins a token, so words are encoded apart and remembered."""
         if "  " in text or self.odd(text) or len(text) > 1 << 24:
             return np.array(self.plain(text), dtype="<u4").tobytes()
@@ -122,7 +137,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = _places(patterns(histogram, size))
     shared = cut.sparkSession.sparkContext.broadcast(places)
-    numbered = ranked(cut, ["length"], ["id", "start", "ids_crc32"], "rank", 1024)
+    numbered = ranked(cut, ["length"], ["id", "start", "ids_crc32"], "rank", max(1024, sum(histogram.values()) // PER_BUCKET))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from sparkloom.llm.common import dropped, ranked, stored
 
 ROUNDS = 12
+#: Rows are ranked in hash buckets of about so many at most.
+PER_BUCKET = 200_000
 
 
 def _list(values: list[int]):
@@ -93,8 +95,9 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("crc"), F.unhex(F.md5(text)).alias("g"))
-    rows = stored(ranked(rows, ["g"], ["id"], "r", total="n"), "sizes")
-    total = rows.count()
+    total = docs.count()
+    buckets = total // PER_BUCKET
+    rows = stored(ranked(rows, ["g"], ["id"], "r", max(256, buckets), total="n"), "sizes")
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     linked, alone = rows.where("n > 1"), rows.where("n = 1")
     start = stored(laid_out(linked.where("r = 0").select("g", "n"), shards), "start")
@@ -110,7 +113,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         at += q - n
     #: The last shard whose first free place is not after p; shards without free places share the next one's start.
     order = F.size(F.filter(_list(cuts), lambda c: c <= F.col("p"))) - 1
-    filled = ranked(alone, [], ["id", "g"], "p", 8192).withColumn("shard", order)
+    filled = ranked(alone, [], ["id", "g"], "p", max(8192, buckets)).withColumn("shard", order)
     each = together.select("id", "size", "crc", "shard").unionByName(filled.select("id", "size", "crc", "shard"))
-    each = ranked(each, ["shard"], ["id", "crc"], "slot", 1024)
+    each = ranked(each, ["shard"], ["id", "crc"], "slot", max(1024, buckets))
     return each.select(F.col("id").alias(id_col), "size", F.col("crc").cast("long").alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -9,29 +9,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.llm.common import components, stored
+from sparkloom.llm.common import components, named, plain, row_key, stored, tie
 
 #: Three blocks of bits. Of 3 differing bits, one block holds at least one; the other two then differ in 2 at most.
 BLOCKS = (range(0, 21), range(21, 42), range(42, 64))
 #: Groups of at most so many fingerprints give their pairs; larger ones take the full ball, which gives no pairs.
 PAIRED = 32
 ROWS = 1 << 15
+#: simhash_dedup's fingerprints: of the different words of a text, with two seeds; near copies meet under either.
+SEEDS = (42, 43)
 
 
 def _signed(n: int) -> int:
     return n - (1 << 64) if n >= 1 << 63 else n
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """SimHash of a text as a signed long: bytes of A-Z in lower case, white space split, `width`-word shingles."""
+def fingerprint(text: str | None, width: int = 3, seed: int = 42, once: bool = False) -> int:
+    """SimHash of a text as a signed long: bytes of A-Z in lower case, white space split, `width`-word shingles.
+
+    once: each different shingle counts once, however often the text repeats it.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
     hashed = xxhash.xxh64_intdigest
-    if len(words) < width:
-        each = [hashed(b" ".join(words), 42)]
-    else:
-        each = [hashed(x, 42) for x in map(b" ".join, zip(*(words[i:] for i in range(width))))]
+    found = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
+    each = [hashed(x, seed) for x in (set(found) if once else found)]
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(each), ROWS):
         part = np.array(each[i : i + ROWS], dtype=">u8")
@@ -57,20 +60,22 @@ def _close(fps: DataFrame) -> DataFrame:
     Each fingerprint leaves out one block of bits in turn and emits, of the rest, all variants within one bit: half
     the radius of 3, rounded down, as what is left differs in 2 bits at most. Linked fingerprints meet at a variant.
     (All variants of all 64 bits within 2 would be 2,081 rows, of which these 132 are what decides.) Groups of up to
-    PAIRED give their pairs, which are then verified. The members of larger groups (copies with small edits) emit
+    PAIRED give their pairs, which are then verified (so it does no harm that variants of two blocks may be equal by
+    chance). Fingerprints are dealt out before they are multiplied, however few files hold them. The members of larger groups (copies with small edits) emit
     the ball of the whole 64 bits: variants within 1 bit, and those 2-bit variants whose bits lie in one half, since
     of 3 bits two do. What is within 1 of a variant is linked to all within 2 of it, so the least of them is the hub
     of a star; no pairs, whatever the group's size, and no link is lost.
     """
     keys = []
-    for k, block in enumerate(BLOCKS):
+    for block in BLOCKS:
         rest = [i for i in range(64) if i not in block]
         mask = sum(1 << i for i in rest)
-        keys += [F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(_signed(x))).alias("v")) for x in (0, *(1 << i for i in rest))]
-    met = fps.select("fp", F.explode(F.array(*keys)).alias("x")).select("fp", "x.k", "x.v")
-    met = met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k", "v"))).where("n > 1")
+        keys += [F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(_signed(x))) for x in (0, *(1 << i for i in rest))]
+    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    met = spread.select("fp", F.explode(F.array_distinct(F.array(*keys))).alias("v"))
+    met = met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("v"))).where("n > 1")
     met = stored(met, "met")
-    few = met.where(F.col("n") <= PAIRED).groupBy("k", "v").agg(F.collect_list("fp").alias("all"))
+    few = met.where(F.col("n") <= PAIRED).groupBy("v").agg(F.collect_list("fp").alias("all"))
     pairs = few.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3)
     many = met.where(F.col("n") > PAIRED).select("fp").distinct()
     return pairs.union(_stars(many)).distinct()
@@ -105,8 +110,62 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(each, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows of docs whose id is the smallest of their group, with all their columns; rows with a null id stay, as no id tells them apart."""
-    stay = simhash_groups(docs, id_col, text_col, width).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stay")).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    return named.join(stay, named[id_col] == stay["_stay"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+def _marks(rows: DataFrame, seeds: tuple[int, ...], width: int, once: bool) -> DataFrame:
+    """(k, id, f0, f1, ...): fingerprints of rows (k, id, text), one for each seed."""
+    names = [f"f{i}" for i in range(len(seeds))]
+
+    def run(batches):
+        for b in batches:
+            texts = [x.as_py() for x in b.column(2)]
+            found = [pa.array([fingerprint(x, width, s, once) for x in texts], pa.int64()) for s in seeds]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found], names=["k", "id", *names])
+
+    return rows.mapInArrow(run, f"k binary, id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = SEEDS, width: int = 1, once: bool = True) -> DataFrame:
+    """(k, id, c): each different (id, text) of docs by its key, and its group; null where the row is alone.
+
+    Rows are linked when their fingerprints under any of the seeds differ in 3 bits at most, and groups are what is
+    reachable. A vertex is a fingerprint under one seed; a row joins its two vertices only where both are shared or
+    linked, so rows without a copy add no edge.
+    """
+    rows, of = plain(docs)
+    keyed = rows.select(row_key(of[id_col], of[text_col]).alias("k"), F.col(of[id_col]).alias("id"), F.col(of[text_col]).alias("text"))
+    marks, edges = stored(_marks(keyed, seeds, width, once), "marks"), None
+    marks = stored(marks.dropDuplicates(["k"]), "marks")
+    vertex = lambda s, fp: F.xxhash64(F.lit(s), fp)
+    for i, s in enumerate(seeds):
+        fps = stored(marks.groupBy(F.col(f"f{i}").alias("fp")).agg(F.count(F.lit(1)).alias("n")), "distinct")
+        links = stored(_close(fps), "links")
+        live = fps.where("n > 1").select("fp").union(links.select(F.explode(F.array("a", "b")))).distinct().withColumn(f"v{i}", vertex(s, F.col("fp")))
+        marks = stored(marks.join(live.withColumnRenamed("fp", f"f{i}"), f"f{i}", "left"), "marks")
+        own = links.select(vertex(s, F.col("a")).alias("a"), vertex(s, F.col("b")).alias("b"))
+        edges = own if edges is None else edges.union(own)
+    for i in range(1, len(seeds)):
+        edges = edges.union(marks.where(f"v0 is not null and v{i} is not null").select("v0", f"v{i}"))
+        for j in range(1, i):
+            edges = edges.union(marks.where(f"v{j} is not null and v{i} is not null").select(f"v{j}", f"v{i}"))
+    found = components(edges)
+    for i in range(len(seeds)):
+        marks = marks.join(found.select(F.col("node").alias(f"v{i}"), F.col("component").alias(f"c{i}")), f"v{i}", "left")
+    parts = [f"c{i}" for i in range(len(seeds))] + [f"v{i}" for i in range(len(seeds))]
+    return marks.select("k", "id", F.coalesce(*parts).alias("c"))
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = SEEDS, width: int = 1, once: bool = True) -> DataFrame:
+    """One row of docs for each group of near_groups, with all its columns: that of the smallest id.
+
+    Fingerprints of the different words of a text move less under small edits than those of shingles, and two seeds
+    give a pair two chances (figures in the README). Rows are told apart by id and text: other texts under one id, or
+    without an id, take part each, a null id after all others, equal ids by a digest. Of rows that repeat id and
+    text one stays, the least by a hash of the other columns. Null and empty texts have fingerprint 0 and are near
+    copies of each other. Any column names do; an empty table gives no rows.
+    """
+    groups = stored(near_groups(docs, id_col, text_col, seeds, width, once), "groups")
+    first = groups.where("c is not null").groupBy("c").agg(F.min_by("k", F.struct(F.col("id").isNull(), "id", "k")).alias("k"))
+    stay = stored(first.select("k").union(groups.where("c is null").select("k")), "stay")
+    rows, of = plain(docs)
+    kept = rows.withColumn("k", row_key(of[id_col], of[text_col])).join(stay, "k", "left_semi")
+    least = F.row_number().over(Window.partitionBy("k").orderBy(tie(rows, [c for c in of.values() if c != of[text_col]])))
+    return named(kept.withColumn("at", least).where("at = 1"), of)

@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             c.merge()
             yield pa.RecordBatch.from_arrays([pa.array(c.keys), pa.array(c.counts if y == 0 else c.counts * 0), pa.array(c.counts if y == 1 else c.counts * 0)], names=["gram", "n0", "n1"])
 
-    taken = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
+    taken = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}  # rows, as one label may mark several
     t0, t1 = max(1, taken.get(0, 0)), max(1, taken.get(1, 0))
     table = rows.mapInArrow(count, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST)
     a, b, c, d = F.col("n1"), F.col("n0"), t1 - F.col("n1"), t0 - F.col("n0")
