@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm.common import row_key, stored
+from sparkloom.llm.common import dropped, named, plain, row_key, scratch, stored
 from sparkloom.llm.exact_dedup import exact_dedup
 from sparkloom.llm.mixing import mixed_documents
 from sparkloom.llm.packing import pack
@@ -17,9 +17,10 @@ from sparkloom.llm.toxicity import fit, scores
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier (fitted on labelled rows that are not held out) rejects go, each row by its own text, with an id or without."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    keyed = docs.withColumn("_row", row_key("doc_id", "text"))
-    marks = scores(keyed, model, id_col="_row").where("predicted = 1").select("_row").distinct()
-    return keyed.join(marks, "_row", "left_anti").select(*docs.columns)
+    rows, of = plain(docs)
+    keyed = rows.withColumn("row", row_key(of["doc_id"], of["text"]))
+    marks = scores(keyed, model, id_col="row", text_col=of["text"]).where("predicted = 1").select("row").distinct()
+    return named(keyed.join(marks, "row", "left_anti"), of)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the fingerprints of op9, 3 or fewer differing bits."""
+    """One document of each group of near duplicates stays: two fingerprints of its different words, 3 or fewer differing bits under either."""
     return simhash_dedup(docs)
 
 
@@ -50,13 +51,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: SQL has neither the classifier nor the fingerprints; tests/llm holds run() against brute force.
+#: SQL has neither the classifier nor the fingerprints; tests/llm holds run() against plain Python, stage by stage.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents, each written as Parquet and read again."""
+    """All stages over the table of documents, each written as Parquet and read again; what a stage wrote on its way goes when it ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as kept:
+            after = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept.append(after)
+        dropped(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
