@@ -13,8 +13,9 @@ from sparkloom.llm.common import components, named, plain, row_key, stored, tie
 
 #: Three blocks of bits. Of 3 differing bits, one block holds at least one; the other two then differ in 2 at most.
 BLOCKS = (range(0, 21), range(21, 42), range(42, 64))
-#: Groups of at most so many fingerprints give their pairs; larger ones take the full ball, which gives no pairs.
-PAIRED = 32
+#: Groups of at most so many fingerprints give their pairs; larger ones take the full ball, which gives no pairs. A
+#: fingerprint stands in 132 groups at most, so with 8 its pairs (132 times 8) are never more rows than its ball (1,057).
+PAIRED = 8
 ROWS = 1 << 15
 #: simhash_dedup's fingerprints: of the different words of a text, with two seeds; near copies meet under either.
 SEEDS = (42, 43)
