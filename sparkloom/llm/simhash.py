@@ -13,9 +13,6 @@ from sparkloom.llm.common import components, named, plain, row_key, stored, tie
 
 #: Three blocks of bits. Of 3 differing bits, one block holds at least one; the other two then differ in 2 at most.
 BLOCKS = (range(0, 21), range(21, 42), range(42, 64))
-#: Groups of at most so many fingerprints give their pairs; larger ones take the full ball, which gives no pairs. A
-#: fingerprint stands in 132 groups at most, so with 8 its pairs (132 times 8) are never more rows than its ball (1,057).
-PAIRED = 8
 ROWS = 1 << 15
 #: simhash_dedup's fingerprints: of the different words of a text, with two seeds; near copies meet under either.
 SEEDS = (42, 43)
@@ -56,33 +53,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _close(fps: DataFrame) -> DataFrame:
-    """Pairs or stars (a, b) of distinct fingerprints that link all those at 3 or fewer differing bits.
-
-    Each fingerprint leaves out one block of bits in turn and emits, of the rest, all variants within one bit: half
-    the radius of 3, rounded down, as what is left differs in 2 bits at most. Linked fingerprints meet at a variant.
-    (All variants of all 64 bits within 2 would be 2,081 rows, of which these 132 are what decides.) Groups of up to
-    PAIRED give their pairs, which are then verified (so it does no harm that variants of two blocks may be equal by
-    chance). Fingerprints are dealt out before they are multiplied, however few files hold them. The members of larger groups (copies with small edits) emit
-    the ball of the whole 64 bits: variants within 1 bit, and those 2-bit variants whose bits lie in one half, since
-    of 3 bits two do. What is within 1 of a variant is linked to all within 2 of it, so the least of them is the hub
-    of a star; no pairs, whatever the group's size, and no link is lost.
+    """Links (a, b) between distinct fingerprints (fp) that connect all those at 3 or fewer differing bits, and no others.
+
+    First, which fingerprints can have a partner: each leaves out one block of bits in turn and emits, of the rest, all
+    variants within one bit, 132 rows; of 3 differing bits one block holds at least one, so partners differ in 2
+    bits of some rest at most, and meet at a variant half way. (It does no harm that variants of two blocks may be
+    equal by chance.) Those that met anyone then emit the ball of all 64 bits. No pair is listed, whatever the
+    size of a group, and the rows are a multiple of the fingerprints. These are dealt out before they are
+    multiplied, however few files hold them.
     """
     keys = []
     for block in BLOCKS:
         rest = [i for i in range(64) if i not in block]
         mask = sum(1 << i for i in rest)
         keys += [F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(_signed(x))) for x in (0, *(1 << i for i in rest))]
-    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    met = spread.select("fp", F.explode(F.array_distinct(F.array(*keys))).alias("v"))
-    met = met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("v"))).where("n > 1")
-    met = stored(met, "met")
-    few = met.where(F.col("n") <= PAIRED).groupBy("v").agg(F.collect_list("fp").alias("all"))
-    pairs = few.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3)
-    many = met.where(F.col("n") > PAIRED).select("fp").distinct()
-    return pairs.union(_stars(many)).distinct()
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = fps.select("fp").repartition(parts, "fp").select("fp", F.explode(F.array(*keys)).alias("v"))
+    others = F.min("fp").over(Window.partitionBy("v")) != F.max("fp").over(Window.partitionBy("v"))
+    met = stored(rows.withColumn("met", others).where("met").select("fp").distinct(), "met")
+    return _stars(met.repartition(parts, "fp")).distinct()
 
 
 def _stars(fps: DataFrame) -> DataFrame:
+    """Variants within 1 bit, and those 2-bit variants whose bits lie in one half, since of 3 bits two do: 1,057 rows each.
+
+    What is within 1 of a variant is within 3 of all that are within 2 of it, so the least of the former is the hub of a star.
+    """
     ones = [1 << i for i in range(64)]
     twos = [ones[i] | ones[j] for half in (range(32), range(32, 64)) for i in half for j in half if i < j]
     lit = lambda values: F.array(*[F.lit(_signed(x)) for x in values])

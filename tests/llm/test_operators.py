@@ -133,11 +133,8 @@ def test_simhash(docs, none):
 
     fp = {i: brute(t) for i, t, *_ in made()}
     assert {r.id: r.fp & (1 << 64) - 1 for r in m.fingerprints(docs).collect()} == fp
-    for paired in (8, 0):
-        m.PAIRED = paired
-        got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in m.simhash_groups(docs).collect()}
-        assert got == {i: (fp[i], c) for i, c in linked(fp).items()}
-    m.PAIRED = 8
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in m.simhash_groups(docs).collect()}
+    assert got == {i: (fp[i], c) for i, c in linked(fp).items()}
     assert m.simhash_groups(none).isEmpty()
 
 
@@ -151,18 +148,15 @@ def linked(fp):
     return at
 
 
-@pytest.mark.parametrize("paired", [8, 1])
-def test_simhash_links_at_all_distances(spark, paired):
+def test_simhash_links_at_all_distances(spark):
     from sparkloom.llm import simhash as m
     from sparkloom.llm.common import components
 
     r = random.Random(5)
     base = [r.getrandbits(64) for _ in range(12)]
     fps = set(base) | {b ^ sum(1 << k for k in r.sample(range(64), n)) for b in base for n in (1, 2, 3, 3, 4) for _ in range(3)}
-    m.PAIRED = paired
     links = m._close(spark.createDataFrame([(m._signed(x),) for x in fps], "fp long"))
     got = {x.node & (1 << 64) - 1: x.component for x in components(links).collect()}
-    m.PAIRED = 8
     want = linked({x: x for x in fps})
     groups = lambda d: sorted(sorted(k for k in d if d[k] == v) for v in set(d.values()))
     assert [g for g in groups(want) if len(g) > 1] == groups(got)
