@@ -6,10 +6,10 @@ edges and reduced by an anti join; only a count of new rows reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sparkloom.session import dropped, stored
+from sparkloom.session import counted, dropped, stored
 
 ROUNDS = 10_000
 
@@ -25,23 +25,26 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def walk(edges: DataFrame, seeds: DataFrame, depth: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, node, d): nodes reachable from seeds (keys, node), with the least number of steps; seeds have 0.
 
-    depth bounds the walk; without it the walk ends when nothing new is met. keys keep walks apart, e.g. by seed.
+    depth bounds the walk; without it the walk ends when nothing new is met, and it is an error if ROUNDS steps do not
+    suffice. keys keep walks apart, e.g. by seed. A round is one job: what is new is written and counted at once.
     """
     names = [*keys, "node"]
     links = stored(edges.select("src", "dst").distinct(), "links")
     frontier = stored(seeds.select(*names).distinct().withColumn("d", F.lit(0)), "walk")
     levels, seen = [frontier], frontier
-    for d in range(1, min(depth if depth is not None else ROUNDS, ROUNDS) + 1):
+    for d in range(1, (ROUNDS if depth is None else depth) + 1):
         met = frontier.join(links, F.col("node") == F.col("src")).select(*keys, F.col("dst").alias("node")).distinct()
-        fresh = stored(met.join(seen.select(*names), names, "left_anti").withColumn("d", F.lit(d)), "walk")
-        if fresh.isEmpty():
-            break
+        fresh, many = counted(met.join(seen.select(*names), names, "left_anti").withColumn("d", F.lit(d)), "walk")
+        if not many:
+            return seen
         levels.append(fresh)
         frontier, seen = fresh, seen.unionByName(fresh)
         if len(levels) % 12 == 0:
             seen = stored(seen, "seen")
             old, levels = levels, [seen]
             dropped(*[x for x in old if x is not frontier])
+    if depth is None:
+        raise RuntimeError(f"the walk did not end in {ROUNDS} rounds")
     return seen
 
 
@@ -51,6 +54,28 @@ def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return found.where("d > 0").select("node", "d", (F.col("d") == 1).alias("direct"))
 
 
+def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of every node, its own where it is on no cycle; and the edges (src, dst) between components, without cycles."""
+    loops = cycles(edges)
+    names = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    of = stored(names.join(loops, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "condensed")
+    one, two = of.select(F.col("node").alias("src"), F.col("component").alias("a")), of.select(F.col("node").alias("dst"), F.col("component").alias("b"))
+    between = edges.select("src", "dst").distinct().join(one, "src").join(two, "dst").where("a != b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    return of, stored(between, "between")
+
+
+def impact_counts(edges: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
+    """(key, impacted): how many nodes depend on any seed (key, node) of a key, the seeds counted.
+
+    Components stand for their nodes, so a commit that touches a module of a cycle walks one vertex and not all of it.
+    """
+    of, between = condensed(edges)
+    sizes = of.groupBy(F.col("component").alias("node")).agg(F.count(F.lit(1)).alias("size"))
+    at = seeds.select(key, "node").distinct().join(of, "node", "left").select(key, F.coalesce("component", "node").alias("node")).distinct()
+    found = walk(turned(between), at, keys=(key,))
+    return found.join(sizes, "node", "left").groupBy(key).agg(F.sum(F.coalesce("size", F.lit(1))).alias("impacted"))
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst): all pairs with a path of one step or more. Rows grow with the pairs: meant for module graphs."""
     links = edges.select("src", "dst").distinct()
@@ -74,13 +99,10 @@ def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
 
 def trimmed(edges: DataFrame) -> DataFrame:
     """Edges without those at nodes that lack an edge in or out, again and again: what is left holds all cycles."""
-    left = stored(edges.where("src != dst").select("src", "dst").distinct(), "core")
-    many = left.count()
+    left, many = counted(edges.where("src != dst").select("src", "dst").distinct(), "core")
     while many:
         ends = left.select(F.col("src").alias("n")).intersect(left.select(F.col("dst").alias("n")))
-        kept = left.join(ends.withColumnRenamed("n", "src"), "src", "left_semi").join(ends.withColumnRenamed("n", "dst"), "dst", "left_semi").select("src", "dst")
-        kept = stored(kept, "core")
-        now = kept.count()
+        kept, now = counted(left.join(ends.withColumnRenamed("n", "src"), "src", "left_semi").join(ends.withColumnRenamed("n", "dst"), "dst", "left_semi").select("src", "dst"), "core")
         dropped(left)
         left = kept
         if now == many:
@@ -101,9 +123,11 @@ def cycles(edges: DataFrame) -> DataFrame:
         nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
         labels = stored(nodes.withColumn("label", F.col("node")), "labels")
         while True:
-            sent = left.join(labels, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "label")
-            after = stored(labels.union(sent.select("node", "label")).groupBy("node").agg(F.min("label").alias("label")), "labels")
-            moved = not after.join(labels, ["node", "label"], "left_anti").isEmpty()
+            sent = left.join(labels, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "label", F.lit(None).cast("string").alias("was"))
+            least = labels.select("node", "label", F.col("label").alias("was")).union(sent).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
+            seen = Observation()
+            after = stored(least.observe(seen, F.count_if(F.col("label") != F.col("was")).alias("n")).select("node", "label"), "labels")
+            moved = seen.get["n"] > 0
             dropped(labels)
             labels = after
             if not moved:
@@ -130,12 +154,13 @@ def layers(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     at = stored(nodes.withColumn("layer", F.lit(0)), "layers")
     for _ in range(ROUNDS):
-        sent = links.join(at, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), (F.col("layer") + 1).alias("layer"))
-        after = stored(at.union(sent).groupBy("node").agg(F.max("layer").alias("layer")), "layers")
-        moved = not after.join(at, ["node", "layer"], "left_anti").isEmpty()
+        sent = links.join(at, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), (F.col("layer") + 1).alias("layer"), F.lit(None).cast("int").alias("was"))
+        most = at.select("node", "layer", F.col("layer").alias("was")).union(sent).groupBy("node").agg(F.max("layer").alias("layer"), F.max("was").alias("was"))
+        seen = Observation()
+        after = stored(most.observe(seen, F.count_if(F.col("layer") != F.col("was")).alias("n")).select("node", "layer"), "layers")
         dropped(at)
         at = after
-        if not moved:
+        if not seen.get["n"]:
             return at
     raise RuntimeError("layers did not settle")
 

@@ -283,7 +283,7 @@ def hunks_unattributed(t):
 @query(HIT + ", ci AS (SELECT sha, node_id, 0 AS d FROM (SELECT DISTINCT sha, node_id FROM ht) UNION SELECT ci.sha, e.src, 1 FROM ci JOIN edges e ON e.dst = ci.node_id) SELECT sha, count(DISTINCT node_id) AS impacted FROM ci GROUP BY sha", True)
 def commit_impact(t):
     seeds = R.touched(t.hunks, t.fns).select("sha", F.col("node_id").alias("node")).distinct()
-    return G.walk(G.turned(t.edges), seeds, keys=("sha",)).groupBy("sha").agg(F.countDistinct("node").alias("impacted"))
+    return G.impact_counts(t.kept("edges"), seeds, "sha")
 
 
 @query("""c AS (SELECT name, count(*) AS calls FROM telemetry GROUP BY name), ex AS (SELECT fn_name AS name, min(fn_key) AS fn_key FROM fns GROUP BY 1), u AS (SELECT regexp_extract(fn_name, '([A-Za-z0-9_]+)$', 1) AS name, min(fn_key) AS fn_key FROM fns GROUP BY 1 HAVING count(*) = 1)
@@ -333,22 +333,22 @@ def module_call_weight(t):
 
 
 def _seed(t) -> DataFrame:
-    return t.edges.agg(F.min("dst").alias("node"))
+    return t.kept("edges").agg(F.min("dst").alias("node"))
 
 
 @query("w AS (SELECT (SELECT min(dst) FROM edges) AS node UNION SELECT src FROM w JOIN edges ON dst = node) SELECT w.node, EXISTS (SELECT 1 FROM edges WHERE dst = (SELECT min(dst) FROM edges) AND src = w.node) AS direct FROM w WHERE node <> (SELECT min(dst) FROM edges)", True)
 def impact_closure(t):
-    return G.impact(t.edges, _seed(t)).select("node", "direct")
+    return G.impact(t.kept("edges"), _seed(t)).select("node", "direct")
 
 
 @query("w AS (SELECT (SELECT min(dst) FROM edges) AS node, 0 AS d UNION SELECT dst, d + 1 FROM w JOIN edges ON src = node WHERE d < 3) SELECT node, min(d) AS d FROM w GROUP BY node", True)
 def bounded_walk(t):
-    return G.walk(t.edges, _seed(t), 3)
+    return G.walk(t.kept("edges"), _seed(t), 3)
 
 
 @query("u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), w AS (SELECT (SELECT min(dst) FROM edges) AS node, 0 AS d UNION SELECT dst, d + 1 FROM w JOIN u ON src = node WHERE d < 2) SELECT node, min(d) AS d FROM w GROUP BY node", True)
 def k_hop(t):
-    return G.neighbourhood(t.edges, _seed(t), 2)
+    return G.neighbourhood(t.kept("edges"), _seed(t), 2)
 
 
 @query("w AS (SELECT (SELECT min(dst) FROM edges) AS node, 0 AS d UNION SELECT dst, d + 1 FROM w JOIN edges ON src = node WHERE d < 40) SELECT count(*) > 0 AS found, coalesce(min(d), 0)::BIGINT AS steps FROM w WHERE node = (SELECT max(src) FROM edges WHERE dst IN (SELECT src FROM edges))", True)
@@ -372,7 +372,7 @@ def layering(t):
 @query("""o AS (SELECT (SELECT min(dst) FROM edges) AS node, 0 AS d UNION SELECT dst, d + 1 FROM o JOIN edges ON src = node WHERE d < 3), i AS (SELECT (SELECT min(dst) FROM edges) AS node, 0 AS d UNION SELECT src, d + 1 FROM i JOIN edges ON dst = node WHERE d < 3),
 a AS (SELECT node, min(d) AS d FROM o GROUP BY node), b AS (SELECT node, min(d) AS d FROM i GROUP BY node) SELECT node, d AS layer FROM a UNION ALL SELECT node, -d FROM b WHERE node NOT IN (SELECT node FROM a)""", True)
 def signed_layering(t):
-    return G.signed_layers(t.edges, _seed(t), 3)
+    return G.signed_layers(t.kept("edges"), _seed(t), 3)
 
 
 @query("SELECT node_id, CASE depth WHEN 3 THEN (SELECT p.parent_id FROM nodes p WHERE p.node_id = n.parent_id) WHEN 2 THEN parent_id ELSE node_id END AS group_id FROM nodes n")

@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _open: list[list[str]] = []
 _swept: set[str] = set()
@@ -63,6 +64,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """stored(df), and its number of rows, taken while it is written: one job."""
+    seen = Observation()
+    return stored(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete what stored() wrote, when nothing reads it any more."""
     for df in frames:

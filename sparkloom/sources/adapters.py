@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.session import stored
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "benchmark", "conversations")
 
 #: name -> (SQL, tables it reads), in an order in which each reads earlier ones only.
@@ -82,6 +84,12 @@ class Tables:
                 raise AttributeError(name)
         return self._made[name]
 
+    def kept(self, name: str) -> DataFrame:
+        """An adapter that a query reads more than once: written down, so it is made once."""
+        if not hasattr(getattr(self, name), "_loom_path"):
+            self._made[name] = stored(getattr(self, name), name)
+        return self._made[name]
+
     @staticmethod
     def _used(text: str) -> list[str]:
         import re
