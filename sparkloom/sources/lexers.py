@@ -1,4 +1,4 @@
-"""Functions of source files by lexers, in Arrow batches: Python by its own parser, others by blocks of lines."""
+"""Functions of source files by lexers, in Arrow batches: Python by its own parser, others by scans (see braces)."""
 
 from __future__ import annotations
 
@@ -7,16 +7,16 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparkloom.sources.braces import HEADERS, LANGUAGES, braces, ends
 
 SCHEMA = "node_id string, fn_name string, line int, line_end int, params array<string>, summary string, complexity int, internal boolean, shape string, shape_size int"
 
 #: How each family of languages begins a function, and what ends its block.
 STARTS = {
     "lua": re.compile(r"^\s*(?:local\s+)?function\s+([\w.:]+)\s*\(([^)]*)\)|^\s*(?:local\s+)?([\w.]+)\s*=\s*function\s*\(([^)]*)\)"),
-    "brace": re.compile(r"^\s*(?:[\w<>\[\],*&:]+\s+)*?(?:function\*?|func|fn|fun|def|sub)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*(?:<[^>]*>)?\(([^)]*)\)|^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_]\w*)\s*=\s*(?:async\s*)?\(([^)]*)\)\s*=>"),
-    "end": re.compile(r"^\s*defp?\s+([\w.?!]+)\s*\(?([^)]*)\)?"),
 }
-FAMILY = {"lua": "lua", "ruby": "end", "elixir": "end"}
 #: Languages whose functions are runs of clauses at the margin: how a clause begins, and a signature before it.
 CLAUSES = {
     "haskell": (re.compile(r"^(?!(?:module|import|data|type|newtype|class|instance|where|infix[lr]?|deriving|foreign|default)\b)([a-z_][\w']*)((?:\s+[^\s=|:]+)*)\s*(?:[=|](?!=)|$)"), re.compile(r"^([a-z_][\w']*)\s*::")),
@@ -31,8 +31,7 @@ EXPORTS = {
     "asm": re.compile(r"^\s*\.?(?:globl|global|public)\s+(.*)$", re.M | re.I),
 }
 BRANCH = re.compile(r"\b(?:if|elseif|elif|for|while|repeat|case|catch|except|and|or)\b|&&|\|\|")
-COMMENT = {"lua": "--", "ruby": "#", "elixir": "#", "haskell": "--", "erlang": "%", "ocaml": "(*", "asm": ";"}
-OPENING = re.compile(r"\b(?:function|if|for|while|do|repeat|def|class|module|case|begin)\b")
+COMMENT = {"lua": "--", "haskell": "--", "erlang": "%", "ocaml": "(*", "asm": ";"}
 
 
 def _python(content: str):
@@ -44,35 +43,31 @@ def _python(content: str):
             yield node.name, node.lineno, node.end_lineno, [a.arg for a in node.args.args], doc, 1 + branches, node.name.startswith("_"), ".".join(kinds), len(kinds)
 
 
-def _depth(text: str, family: str) -> int:
-    bare = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", "", text)
-    if family == "brace":
-        return bare.count("{") - bare.count("}")
-    opened = len(re.findall(r"\b(?:function|then|do|repeat)\b", bare)) - len(re.findall(r"\belseif\b", bare)) if family == "lua" else len(re.findall(r"^\s*(?:def|defp|if|unless|case|class|module|begin|while)\b|\bdo\b", bare))
+def _depth(text: str) -> int:
+    bare = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|--.*", "", text)
+    opened = len(re.findall(r"\b(?:function|then|do|repeat)\b", bare)) - len(re.findall(r"\belseif\b", bare))
     return opened - len(re.findall(r"\b(?:end|until)\b", bare))
 
 
-def _blocks(content: str, language: str):
-    family, mark = FAMILY.get(language, "brace"), COMMENT.get(language, "//")
+def _lua(content: str):
     rows, notes = content.split("\n"), []
     for i, row in enumerate(rows):
-        if row.strip().startswith(mark):
-            notes.append(row.strip().lstrip("-#/! ").strip())
+        if row.strip().startswith("--"):
+            notes.append(row.strip().lstrip("-").strip())
             continue
-        m = STARTS[family].match(row)
+        m = STARTS["lua"].match(row)
         if m:
             g = [x for x in m.groups() if x is not None]
-            depth, end, opened = 0, i, False
+            depth, end = 0, i
             for j in range(i, len(rows)):
-                depth += _depth(rows[j], family)
-                opened = opened or depth > 0
-                if (opened and depth <= 0) or (j == i and depth <= 0 and family != "brace"):
+                depth += _depth(rows[j])
+                if depth <= 0:
                     end = j
                     break
-            body = "\n".join(rows[i : end + 1])
+            body = re.sub(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|--[^\n]*", " ", "\n".join(rows[i : end + 1]))
             tokens = re.findall(r"[A-Za-z_]\w*|\d+|[^\s\w]", body)
             shape = ["n" if t[0].isalpha() or t[0] == "_" else "d" if t[0].isdigit() else t for t in tokens]
-            params = [p.split(":")[0].strip().split(" ")[-1] for p in (g[1] if len(g) > 1 else "").split(",") if p.strip()]
+            params = [p.strip() for p in (g[1] if len(g) > 1 else "").split(",") if p.strip()]
             yield g[0], i + 1, end + 1, params, next((n for n in notes if n and not n.startswith("@")), ""), 1 + len(BRANCH.findall(body)), "local" in row.split("function")[0] or g[0].startswith("_"), "".join(shape), len(shape)
         notes = []
 
@@ -111,15 +106,31 @@ def _clauses(content: str, language: str):
         yield name, first + 1, last + 1, params, note, 1 + sum(bool(BRANCH.fullmatch(t)) for t in tokens), hidden, "".join(shape), len(shape)
 
 
+def _of(text: str, language: str | None, path: str | None):
+    if language == "python":
+        return _python(text)
+    if language == "lua":
+        return _lua(text)
+    if language in CLAUSES:
+        return _clauses(text, language)
+    if language in ("ruby", "elixir"):
+        return ends(text, language)
+    return braces(text, language, bool(path) and path.rsplit(".", 1)[-1] in HEADERS) if language in LANGUAGES else ()
+
+
 def functions(files: DataFrame) -> DataFrame:
-    """files (node_id, language, content) to functions, in the order of lines; a file that cannot be parsed gives none."""
+    """files (node_id, language, content, and path, where there) to functions, in the order of lines; a file that cannot be parsed gives none.
+
+    In C and C++ a path with a header's extension makes prototypes functions; other languages do not ask for the path.
+    """
+    with_path = files if "path" in files.columns else files.withColumn("path", F.lit(None).cast("string"))
 
     def run(batches):
         for b in batches:
             out = []
-            for i, lang, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for i, lang, text, path in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 try:
-                    found = list(_python(text or "") if lang == "python" else _clauses(text or "", lang) if lang in CLAUSES else _blocks(text or "", lang or ""))
+                    found = list(_of(text or "", lang, path))
                 except (SyntaxError, ValueError, RecursionError):
                     found = []
                 out += [(i, *x) for x in sorted(found, key=lambda x: (x[1], x[0]))]
@@ -127,4 +138,4 @@ def functions(files: DataFrame) -> DataFrame:
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 10, kinds, strict=True)], names=names)
 
-    return files.select("node_id", "language", "content").mapInArrow(run, SCHEMA)
+    return with_path.select("node_id", "language", "content", "path").mapInArrow(run, SCHEMA)
