@@ -79,3 +79,23 @@ def escaped_markdown(text: Column) -> Column:
 def escaped_label(text: Column) -> Column:
     """For quoted labels of graph formats."""
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+
+def percent_decoded(text: Column) -> Column:
+    """A part of a URL with %xx and + read back; as it is where that is not well formed."""
+    return F.coalesce(F.try_url_decode(text), text)
+
+
+def safe_sha(text: Column) -> Column:
+    """A commit's hash of 4 to 40 hexadecimal digits, in lower case; null for anything else."""
+    return F.when(text.rlike("^[0-9A-Fa-f]{4,40}$"), F.lower(text))
+
+
+def static_name(text: Column) -> Column:
+    """A name of letters, digits, dots, dashes and underscores that does not begin with a dot; null for anything else."""
+    return F.when(text.rlike(r"^[A-Za-z0-9_-][A-Za-z0-9._-]*$"), text)
+
+
+def shape_hash(shape: Column) -> Column:
+    """A shape as 16 hexadecimal digits; 64 bits of SHA-256."""
+    return F.substring(F.sha2(shape, 256), 1, 16)

@@ -120,6 +120,28 @@ def probes(fns: DataFrame, nodes: DataFrame, findings: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("probe"), v.cast("double").alias("value")) for k, v in pairs.items()])).alias("x")).select("x.*").where("value is not null")
 
 
+def tag_probes(fns: DataFrame, tags: DataFrame, texts: DataFrame) -> DataFrame:
+    """(probe, value): public functions with an example, and named in prose, in percent; deprecated ones, todos and recorded bugs, counted.
+
+    tags as doc_tags() gives them, their node_id the function's key. A percentage of no functions is left out.
+    """
+    public = fns.where("not internal").select("fn_key", "fn_name")
+    with_example = tags.where("tag = 'example'").select(F.col("node_id").alias("fn_key")).distinct()
+    a = public.join(with_example.withColumn("has", F.lit(1)), "fn_key", "left").agg(F.count(F.lit(1)).alias("n"), F.count("has").alias("examples"))
+    b = mentioned(public, texts).agg(F.count(F.lit(1)).alias("mentions"))
+    c = tags.agg(*[F.count_if(F.col("tag") == t).alias(n) for t, n in (("deprecated", "deprecated"), ("todo", "todos"), ("bug", "recorded_defects"))])
+    one = a.join(F.broadcast(b)).join(F.broadcast(c))  # one row each
+    pairs = {"examples": F.when(F.col("n") > 0, pct(F.col("examples"), F.col("n"))), "docs_mentions": F.when(F.col("n") > 0, pct(F.col("mentions"), F.col("n")))} | {k: F.col(k) for k in ("deprecated", "todos", "recorded_defects")}
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("probe"), v.cast("double").alias("value")) for k, v in pairs.items()])).alias("x")).select("x.*").where("value is not null")
+
+
+def evidence(rows: DataFrame, by: str, what: str, most: int = EVIDENCE) -> DataFrame:
+    """(by, rank, what, total): the first `most` of each group in order, and how many there are; each task keeps its own first ones before the shuffle."""
+    w = Window.partitionBy(by).orderBy(what)
+    first = rows.select(by, what).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return first.join(rows.groupBy(by).agg(F.count(F.lit(1)).alias("total")), by).select(by, "rank", what, "total")
+
+
 def judged(values: DataFrame, most: int = 5, **overrides: tuple[float, float]) -> DataFrame:
     """(probe, value, verdict, distance, weight, rank): the first `most` of each verdict by weight and distance."""
     rows = [(k, float(overrides.get(k, v)[0]), float(overrides.get(k, v)[1]), v[2], v[3]) for k, v in VERDICTS.items()]
@@ -140,7 +162,8 @@ def severity_tally(findings: DataFrame) -> DataFrame:
 
 def collisions(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows with n, how many share the keys, and the flag `collides`."""
-    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).withColumn("collides", F.col("n") > 1)
+    many = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))  # counted before the shuffle; a join splits keys that many rows share
+    return rows.join(many, keys).withColumn("collides", F.col("n") > 1)
 
 
 def az_buckets(names: DataFrame, column: str = "name") -> DataFrame:

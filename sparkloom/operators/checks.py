@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.scalar import bare_name, normalised, parent_dir
+from sparkloom.functions.scalar import bare_name, dotted_prefixes, normalised, parent_dir
 
 #: The message of each check; {names} are filled from the finding.
 MESSAGES = {
@@ -104,12 +104,18 @@ def require_cycles(cycles: DataFrame) -> DataFrame:
     return finding(cycles, "warn", "require-cycle", node="node", detail="component")
 
 
+def covered(modules: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(module): those at or below any of the prefixes; by their own dotted prefixes and equality, whatever the number of either."""
+    each = modules.select("module").distinct().select("module", F.explode(dotted_prefixes(F.col("module"))).alias("prefix"))
+    return each.join(prefixes.select("prefix").distinct(), "prefix", "left_semi").select("module").distinct()
+
+
 def not_declared(requires: DataFrame, nodes: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
     """Requires under one of our own first segments that no node declares and no tag prefix covers."""
     ours = nodes.where("module is not null").select(F.split("module", r"\.")[0].alias("head")).distinct()
-    left = requires.withColumn("head", F.split("module", r"\.")[0]).join(F.broadcast(ours), "head", "left_semi").join(nodes.select("module"), "module", "left_anti")
+    left = requires.withColumn("head", F.split("module", r"\.")[0]).join(ours, "head", "left_semi").join(nodes.select("module"), "module", "left_anti")
     if prefixes is not None:
-        left = left.join(F.broadcast(prefixes), F.expr("module = prefix or startswith(module, concat(prefix, '.'))"), "left_anti")
+        left = left.join(covered(left, prefixes), "module", "left_anti")
     return finding(left.select("node_id", "module").distinct(), "warn", "require-not-declared", detail="module")
 
 
@@ -122,14 +128,16 @@ def unused_requires(requires: DataFrame, tokens: DataFrame) -> DataFrame:
 def consumer_missing(outside: DataFrame, nodes: DataFrame) -> DataFrame:
     """(consumer, module) required from us, below one of our heads, that no node declares."""
     ours = nodes.where("module is not null").select(F.split("module", r"\.")[0].alias("head")).distinct()
-    left = outside.withColumn("head", F.split("module", r"\.")[0]).join(F.broadcast(ours), "head", "left_semi").join(nodes.select("module"), "module", "left_anti")
+    left = outside.withColumn("head", F.split("module", r"\.")[0]).join(ours, "head", "left_semi").join(nodes.select("module"), "module", "left_anti")
     return finding(left.groupBy("module").agg(F.array_join(F.array_sort(F.collect_set("consumer")), ",").alias("who")), "warn", "consumer-require-missing", node="who", detail="module")
 
 
 def layer_violations(requires: DataFrame, rules: DataFrame) -> DataFrame:
     """requires (from_module, to_module) against rules (rule_from, rule_to): into rule_to from rule_from, though not from within rule_to."""
-    under = lambda m, p: f"({m} = {p} or startswith({m}, concat({p}, '.')))"
-    met = requires.join(F.broadcast(rules), F.expr(f"{under('from_module', 'rule_from')} and not {under('from_module', 'rule_to')} and {under('to_module', 'rule_to')}"))
+    pairs = requires.select("from_module", "to_module").distinct()
+    below = lambda c, p: pairs.select(c).distinct().select(c, F.explode(dotted_prefixes(F.col(c))).alias(p))
+    met = pairs.join(below("from_module", "rule_from"), "from_module").join(rules.select("rule_from", "rule_to").distinct(), "rule_from").join(below("to_module", "rule_to"), ["to_module", "rule_to"])
+    met = met.where("from_module != rule_to and not startswith(from_module, concat(rule_to, '.'))")
     return finding(met.select("from_module", "to_module").distinct(), "warn", "layer-violation", node="from_module", detail="to_module")
 
 
@@ -171,7 +179,7 @@ def dead_functions(fns: DataFrame, calls: DataFrame, runtime: DataFrame | None =
     """Functions that nothing calls or refers to: file-local (no dot in the name), internal, or with no_caller any; run-time calls clear them."""
     left = fns.join(calls.select(F.col("to_key").alias("fn_key")), "fn_key", "left_anti")
     if see is not None:
-        left = left.join(see, (F.col("fn_name") == F.col("target")) | (bare_name(F.col("fn_name")) == F.col("target")), "left_anti")
+        left = left.join(see, F.col("fn_name") == F.col("target"), "left_anti").join(see, bare_name(F.col("fn_name")) == F.col("target"), "left_anti")
     if runtime is not None:
         left = left.join(runtime.where("calls > 0").select("fn_key"), "fn_key", "left_anti")
     variant = F.when(~F.col("fn_name").rlike("[.:]"), "file-local").when(F.col("internal"), "internal").when(F.lit(no_caller), "no-caller")

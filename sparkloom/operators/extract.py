@@ -55,11 +55,26 @@ def markers(files: DataFrame) -> DataFrame:
 
 
 def code_spans(files: DataFrame) -> DataFrame:
-    """(node_id, line, text): spans in single backticks outside fences; the state of fences is a running count of them."""
-    fence = F.col("text").rlike(r"^\s*(```|~~~)").cast("int")
-    w = Window.partitionBy("node_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    out = lines(files).withColumn("f", fence).withColumn("n", F.sum("f").over(w)).where("f = 0 and n % 2 = 0")
-    return out.select("node_id", "line", F.explode(F.regexp_extract_all("text", F.lit("`([^`]+)`"), F.lit(1))).alias("text"))
+    """(node_id, line, text): spans in backticks outside fenced blocks, trimmed; those in double backticks come first and may hold single ones."""
+    rows = files.select("node_id", F.posexplode(F.split("content", "\n", -1)).alias("at", "text"))
+    mark = F.regexp_extract("text", r"^[ \t\r\x0b\f]*(`{3,}|~{3,})", 1)
+    marked = rows.withColumn("fence", mark)
+    # a file's fences are few: which of them open and close is worked out over their list, and lines find their block by range
+    fences = marked.where("fence != ''").groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("at", "fence"))).alias("f"))
+    begin = F.struct(F.lit("").alias("open"), F.lit(-1).alias("since"), F.array().cast("array<struct<first:int,last:int>>").alias("blocks"))
+
+    def step(a, x):
+        same = (F.substring(a["open"], 1, 1) == F.substring(x["fence"], 1, 1)) & (F.length(x["fence"]) >= F.length(a["open"]))
+        closed = F.struct(F.lit("").alias("open"), F.lit(-1).alias("since"), F.concat(a["blocks"], F.array(F.struct(a["since"].alias("first"), x["at"].alias("last")))).alias("blocks"))
+        return F.when(a["open"] == "", F.struct(x["fence"].alias("open"), x["at"].alias("since"), a["blocks"].alias("blocks"))).when(same, closed).otherwise(a)
+
+    last = lambda a: F.when(a["open"] == "", a["blocks"]).otherwise(F.concat(a["blocks"], F.array(F.struct(a["since"].alias("first"), F.lit(2147483647).alias("last")))))
+    blocks = fences.select("node_id", F.aggregate("f", begin, step, last).alias("blocks"))
+    ticked = rows.where(F.col("text").contains("`")).join(blocks, "node_id", "left")
+    outside = ticked.where(~F.coalesce(F.exists("blocks", lambda b: F.col("at").between(b["first"], b["last"])), F.lit(False)))
+    double, single = F.regexp_extract_all("text", F.lit("``(.*?)``"), F.lit(1)), F.regexp_extract_all(F.regexp_replace("text", "``.*?``", ""), F.lit("`([^`]+)`"), F.lit(1))
+    spans = outside.select("node_id", (F.col("at") + 1).alias("line"), F.explode(F.concat(double, single)).alias("text"))
+    return spans.select("node_id", "line", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).where("text != ''")
 
 
 def markdown_links(files: DataFrame, keep: tuple[str, ...] = ("node_id",)) -> DataFrame:
@@ -104,7 +119,7 @@ def identifiers(files: DataFrame) -> DataFrame:
 def diff_hunks(diffs: DataFrame) -> DataFrame:
     """(sha, path, side, first, last) of unified diffs (sha, content): ranges of no lines and /dev/null are dropped."""
     w = Window.partitionBy("sha").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    path = lambda sign: F.when(F.col("text").startswith(sign * 3 + " "), F.regexp_replace(F.substring("text", 5, 10000), r"^[ab]/|\t.*$", ""))
+    path = lambda sign: F.when(F.col("text").startswith(sign * 3 + " "), F.regexp_replace(F.substr("text", F.lit(5)), r"^[ab]/|\t.*$", ""))
     rows = lines(diffs, ("sha",)).withColumn("old", F.last(path("-"), True).over(w)).withColumn("new", F.last(path("+"), True).over(w)).where(F.col("text").startswith("@@"))
     num = lambda i: F.regexp_extract("text", r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", i)
     side = lambda name, p, a, n: F.struct(F.lit(name).alias("side"), F.col(p).alias("path"), num(a).cast("long").alias("first"), F.when(num(n) == "", 1).otherwise(num(n).cast("long")).alias("n"))
@@ -117,7 +132,7 @@ def log_commits(text: DataFrame) -> DataFrame:
     record = text.select(F.explode(F.split("content", "\x1e")).alias("r")).where("trim(r) != ''")
     parts = F.split("r", "\n")
     head = F.split(parts[0], "\x1f")
-    return record.select(head[0].alias("sha"), F.try_to_date(F.get(head, F.lit(1))).alias("day"), F.explode(F.array_distinct(F.filter(F.slice(parts, 2, 1_000_000), lambda p: p != ""))).alias("path"))
+    return record.select(head[0].alias("sha"), F.try_to_date(F.get(head, F.lit(1))).alias("day"), F.explode(F.array_distinct(F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda p: p != ""))).alias("path"))
 
 
 def checklist_items(files: DataFrame) -> DataFrame:
@@ -277,3 +292,106 @@ def uncovered_roots(roots: DataFrame) -> DataFrame:
 def extension_counts(files: DataFrame) -> DataFrame:
     """(ext, claimed, n) of files with a language or without, as claimed() gives them."""
     return files.groupBy("ext", F.col("language").isNotNull().alias("claimed")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Folders that hold no prose of the tree's own.
+NO_PROSE = ("node_modules", ".deps")
+
+
+def corpus(files: DataFrame, out_dir: str = "docs/map") -> DataFrame:
+    """Markdown files of a tree, but those in folders that begin with a dot, of dependencies, and what the tool itself wrote."""
+    folders = F.split(F.regexp_replace("path", "[^/]*$", ""), "/")
+    own = F.col("path").startswith(out_dir.rstrip("/") + "/")
+    return files.where(F.lower("path").rlike(r"\.(md|markdown)$") & ~own & ~F.exists(folders, lambda x: x.startswith(".") | x.isin(*NO_PROSE)))
+
+
+def outside(files: DataFrame, roots: list[str], cap: int = 20_000) -> DataFrame:
+    """(ext, n): files that no root holds, by extension; a count of `cap` says that there are so many or more."""
+    held = [F.col("path").startswith(r.rstrip("/") + "/") if r not in ("", ".") else F.lit(True) for r in roots]
+    out = files
+    for x in held:
+        out = out.where(~x)
+    ext = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
+    return out.where(ext != "").groupBy(ext.alias("ext")).agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("n"))
+
+
+def types_folded(files: DataFrame, folder: str = "@types") -> tuple[DataFrame, DataFrame]:
+    """Files that are not in a types folder; and (path, types): for each folder that has one, how many files are in it."""
+    inside = F.col("path").contains(f"/{folder}/") | F.col("path").startswith(f"{folder}/")
+    owner = F.regexp_extract("path", rf"^(.*?)/?{folder}/", 1)
+    return files.where(~inside), files.where(inside).groupBy(F.when(owner == "", ".").otherwise(owner).alias("path")).agg(F.count(F.lit(1)).alias("types"))
+
+
+def multi_root(trees: dict[str, DataFrame]) -> DataFrame:
+    """Nodes (node_id, parent_id, depth, ...) of several roots under one synthetic root `.`; ids of a root begin with its name."""
+    out = None
+    for name, nodes in sorted(trees.items()):
+        moved = nodes.withColumns({
+            "parent_id": F.when(F.col("parent_id").isNull(), ".").otherwise(F.concat(F.lit(name + ":"), "parent_id")),
+            "node_id": F.concat(F.lit(name + ":"), "node_id"), "depth": F.col("depth") + 1})
+        out = moved if out is None else out.unionByName(moved)
+    top = out.limit(0).sparkSession.range(1).select(*[F.lit("." if c == "node_id" else 0 if c == "depth" else None).cast(out.schema[c].dataType).alias(c) for c in out.columns])
+    return top.unionByName(out)
+
+
+def type_edges(tags: DataFrame) -> DataFrame:
+    """(node_id, src, dst, kind) of tags (node_id, owner, line, tag, value): `@class A : B, C` extends; a field's types are referred to.
+
+    A name in a type is a capitalised dotted word; unions, arrays and generics part names. An edge is given once.
+    """
+    classes = tags.where("tag = 'class'").select("node_id", "line", F.regexp_extract("value", r"^(?:\([a-z]+\)\s*)?([A-Za-z_][\w.]*)", 1).alias("src"), F.regexp_extract("value", r":\s*(.*)$", 1).alias("above"))
+    ups = classes.select("node_id", "src", F.explode(F.regexp_extract_all("above", F.lit(r"[A-Za-z_][\w.]*"), F.lit(0))).alias("dst"), F.lit("extends").alias("kind"))
+    w = Window.partitionBy("node_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    name = F.when(F.col("tag") == "class", F.regexp_extract("value", r"^(?:\([a-z]+\)\s*)?([A-Za-z_][\w.]*)", 1))
+    held = tags.where("tag in ('class', 'field')").withColumn("src", F.last(name, True).over(w)).where("tag = 'field' and src is not null")
+    used = held.select("node_id", "src", F.explode(F.regexp_extract_all(F.regexp_extract("value", r"^\S+\s+(\S+)", 1), F.lit(r"[A-Za-z_][\w.]*"), F.lit(0))).alias("dst"), F.lit("type").alias("kind"))
+    return ups.unionByName(used.where(F.col("dst").rlike("^[A-Z]|[.]"))).where("src != dst").distinct()
+
+
+def plugin_specs(files: DataFrame) -> DataFrame:
+    """(node_id, line, repo, lazy, triggers): tables that begin with "owner/name", or name it in `src`, up to their closing brace.
+
+    triggers are the names under event, cmd, ft and keys, in that order; lazy is true, false or null as written. Braces
+    are matched, so a table within a table (a dependency) is an entry of its own and does not lend its keys to the outer one.
+    """
+
+    def run(batches):
+        import re
+
+        import pyarrow as pa
+
+        start = re.compile(r"\{\s*(?:src\s*=\s*)?[\"']((?:https?://[^\"'/]+/)?[\w.-]+/[\w.-]+)[\"']")
+        for b in batches:
+            out = []
+            for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                text = re.sub(r"--[^\n]*", lambda m: " " * len(m[0]), text or "")
+                found = [(m, _closing(text, m.start())) for m in start.finditer(text)]
+                for m, end in found:
+                    body = list(text[m.end() : end])
+                    for n, stop in found:
+                        if m.start() < n.start() < end:
+                            body[n.start() - m.end() : stop + 1 - m.end()] = " " * (min(stop + 1, end) - n.start())
+                    own = "".join(body)
+                    lazy = re.search(r"\blazy\s*=\s*(true|false)", own)
+                    triggers = []
+                    for key in ("event", "cmd", "ft", "keys"):
+                        value = re.search(rf"\b{key}\s*=\s*(\{{[^{{}}]*(?:\{{[^{{}}]*\}}[^{{}}]*)*\}}|\"[^\"]*\"|'[^']*')", own)
+                        if value and value[1][0] == "{":
+                            each = re.findall(r"\{\s*[\"']([^\"']*)", value[1][1:]) if key == "keys" and "{" in value[1][1:] else re.findall(r"[\"']([^\"']*)[\"']", value[1])
+                            triggers += each
+                        elif value:
+                            triggers.append(value[1][1:-1])
+                    out.append((node, text.count("\n", 0, m.start()) + 1, re.sub(r"^https?://[^/]+/", "", m[1]), lazy and lazy[1] == "true", triggers))
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["node_id", "line", "repo", "lazy", "triggers"])
+
+    return files.select("node_id", "content").mapInArrow(run, "node_id string, line int, repo string, lazy boolean, triggers array<string>")
+
+
+def _closing(text: str, at: int) -> int:
+    depth = 0
+    for i in range(at, len(text)):
+        depth += (text[i] == "{") - (text[i] == "}")
+        if not depth:
+            return i
+    return len(text)

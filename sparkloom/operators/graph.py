@@ -194,3 +194,10 @@ def ancestor_at(nodes: DataFrame, depth: int) -> DataFrame:
 def weights(calls: DataFrame) -> DataFrame:
     """(src, dst, n): distinct call edges between two different modules."""
     return calls.where("src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tree_walk(nodes: DataFrame, seeds: DataFrame, most: int, deep: int = 64) -> DataFrame:
+    """(node, d): the subtrees below seeds (node), nearest first, then in order; the first `most` of them."""
+    below = nodes.where("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("node_id").alias("dst"))
+    found = walk(below, seeds, deep)
+    return found.join(nodes.select(F.col("node_id").alias("node"), "ord"), "node").orderBy("d", "ord", "node").limit(most).select("node", "d")

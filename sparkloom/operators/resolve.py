@@ -69,27 +69,58 @@ def unique_bare(fns: DataFrame, by: list[str] | None = None) -> DataFrame:
     return fns.withColumn("name", bare_name(F.col("fn_name"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("node_id"), F.min("fn_key").alias("fn_key")).where("n = 1").drop("n")
 
 
-def resolve_calls(raw: DataFrame, fns: DataFrame, aliases: DataFrame, guess: bool = False) -> DataFrame:
+def package_siblings(fns: DataFrame, nodes: DataFrame, languages: tuple[str, ...] = ("go",)) -> DataFrame:
+    """(parent_id, name, node_id, fn_key): bare names that one file alone declares among the files of a folder, in languages whose files share a scope."""
+    scoped = nodes.where(F.col("language").isin(*languages) & F.col("parent_id").isNotNull()).select("node_id", "parent_id")
+    held = fns.withColumn("name", bare_name(F.col("fn_name"))).join(scoped, "node_id").groupBy("parent_id", "name")
+    return held.agg(F.countDistinct("node_id").alias("n"), F.min("node_id").alias("node_id"), F.max_by("fn_key", "k").alias("fn_key")).where("n = 1").drop("n")
+
+
+def resolve_calls(raw: DataFrame, fns: DataFrame, aliases: DataFrame, guess: bool = False, modules: DataFrame | None = None, siblings: DataFrame | None = None, imports: DataFrame | None = None) -> DataFrame:
     """raw (node_id, seq, callee, from_fn, line) with the rung that applies, and the function it finds.
 
-    Rungs in order: alias (head of a dotted callee is a local name of a module in the tree), external (of one that is
-    not), own (the dotted or bare name is this node's), unique (a bare name that one function of the whole tree has;
-    only with `guess`, and heuristic). A dotted callee stops at the first rung that applies, found or not.
+    Rungs in order: inline (`require("mod").f`, modules: module, node_id), alias (head of a dotted callee is a local name
+    of a module in the tree), external (an inline or aliased module that is not), own (the name is this node's, or its
+    head begins one of this node's names), sibling (siblings: node_id, name, fn_key: files of the same package), import
+    (imports: node_id, name, target or null, module, member), unique (a bare name that one function of the whole
+    tree has; only with `guess`, and heuristic). A call stops at the first rung that applies, found or not.
     aliases: (node_id, alias, target node or null, module). Calls from no function, and of itself, are dropped.
     """
-    head, rest = F.substring_index("callee", ".", 1), F.regexp_replace("callee", r"^[^.]*\.", "")
-    calls = raw.where("from_fn is not null").withColumn("dotted", F.col("callee").contains(".")).withColumn("head", head).withColumn("rest", rest)
-    known = aliases.select("node_id", F.col("alias").alias("head"), F.col("target"), F.col("module").alias("alias_module"), F.lit(True).alias("has_alias"))
+    inline = r"^require\s*\(?\s*[\"']([\w.-]+)[\"']\s*\)?\s*\.([\w.]+)$"
+    plain = F.col("callee").rlike(r"^\w+\.[\w.]+$")
+    calls = raw.where("from_fn is not null").withColumn("inline", F.regexp_extract("callee", inline, 1))
+    calls = calls.withColumn("head", F.when(plain, F.substring_index("callee", ".", 1))).withColumn("rest", F.when(F.col("inline") != "", F.regexp_extract("callee", inline, 2)).when(plain, F.regexp_replace("callee", r"^[^.]*\.", "")))
+    none = lambda schema: raw.sparkSession.createDataFrame([], schema)
+    name = raw.schema["node_id"].dataType.simpleString()
+    modules = modules if modules is not None else none(f"module string, node_id {name}")
+    siblings = siblings if siblings is not None else none(f"node_id {name}, name string, fn_key string")
+    imports = imports if imports is not None else none(f"node_id {name}, name string, target {name}, module string, member string")
+    known = aliases.select("node_id", F.col("alias").alias("head"), F.col("target").alias("alias_target"), F.col("module").alias("alias_module"), F.lit(True).alias("has_alias"))
     index = function_index(fns)
-    calls = calls.join(known, ["node_id", "head"], "left").withColumn("has_alias", F.coalesce("has_alias", F.lit(False)) & F.col("dotted"))
-    by_alias = index.select(F.col("node_id").alias("target"), F.col("name").alias("rest"), F.col("fn_key").alias("alias_key"))
+    prefixes = fns.where(F.col("fn_name").contains(".")).select("node_id", F.substring_index("fn_name", ".", 1).alias("head"), F.lit(True).alias("has_prefix")).distinct()
+    named = imports.select("node_id", F.col("name").alias("callee"), F.col("target").alias("import_target"), F.col("module").alias("import_module"), F.col("member").alias("import_member"), F.lit(True).alias("has_import"))
     own = index.select("node_id", F.col("name").alias("callee"), F.col("fn_key").alias("own_key"))
+    near = siblings.select("node_id", F.col("name").alias("callee"), F.col("fn_key").alias("sibling_key"))
     once = unique_bare(fns).select(F.col("name").alias("callee"), F.col("fn_key").alias("guess_key"))
-    calls = calls.join(by_alias, ["target", "rest"], "left").join(own, ["node_id", "callee"], "left").join(once, "callee", "left")
-    rung = F.when(F.col("has_alias") & F.col("target").isNotNull(), "alias").when(F.col("has_alias"), "external").when(F.col("own_key").isNotNull(), "own").when(~F.col("dotted") & F.col("guess_key").isNotNull() & F.lit(guess), "unique")
+    calls = calls.join(modules.select(F.col("module").alias("inline"), F.col("node_id").alias("inline_target")), "inline", "left")
+    for other, keys in ((known, ["node_id", "head"]), (prefixes, ["node_id", "head"]), (own, ["node_id", "callee"]), (near, ["node_id", "callee"]), (named, ["node_id", "callee"]), (once, ["callee"])):
+        calls = calls.join(other, keys, "left")
+    bare = F.col("callee").rlike(r"^\w+$")
+    rung = F.when((F.col("inline") != "") & F.col("inline_target").isNotNull(), "inline").when(F.col("inline") != "", "external")
+    rung = rung.when(F.col("has_alias") & F.col("alias_target").isNotNull(), "alias").when(F.col("has_alias"), "external").when(F.col("has_prefix"), "own")
+    rung = rung.when(bare & F.col("own_key").isNotNull(), "own").when(bare & F.col("sibling_key").isNotNull(), "sibling")
+    rung = rung.when(bare & F.col("has_import") & F.col("import_target").isNotNull(), "import").when(bare & F.col("has_import"), "external").when(bare & F.col("guess_key").isNotNull() & F.lit(guess), "unique")
     calls = calls.withColumn("rung", rung)
-    to = F.when(F.col("rung") == "alias", F.col("alias_key")).when(F.col("rung") == "own", F.col("own_key")).when(F.col("rung") == "unique", F.col("guess_key"))
-    return calls.select("node_id", "seq", "from_fn", "callee", "line", "rung", to.alias("to_key"), "alias_module", F.when(F.col("rung") == "external", F.col("rest")).alias("member"), F.when(F.col("rung") == "unique", "heuristic").otherwise("exact").alias("confidence")).where("to_key is null or to_key != from_fn")
+    where = F.when(F.col("rung") == "inline", F.col("inline_target")).when(F.col("rung") == "alias", F.col("alias_target")).when(F.col("rung") == "import", F.col("import_target")).when((F.col("rung") == "own") & ~bare, F.col("node_id"))
+    what = F.when(F.col("rung") == "import", F.col("import_member")).otherwise(F.col("rest"))
+    calls = calls.withColumn("t", where).withColumn("m", F.when((F.col("rung") == "own") & ~bare, F.col("callee")).otherwise(what)).withColumn("b", bare_name(what))
+    full = index.select(F.col("node_id").alias("t"), F.col("name").alias("m"), F.col("fn_key").alias("full_key"))
+    short = index.select(F.col("node_id").alias("t"), F.col("name").alias("b"), F.col("fn_key").alias("short_key"))
+    calls = calls.join(full, ["t", "m"], "left").join(short, ["t", "b"], "left")
+    to = F.when(F.col("t").isNotNull(), F.coalesce("full_key", "short_key")).when(F.col("rung") == "own", F.col("own_key")).when(F.col("rung") == "sibling", F.col("sibling_key")).when(F.col("rung") == "unique", F.col("guess_key"))
+    outer = F.when(F.col("rung") == "external", F.when(F.col("inline") != "", F.col("inline")).otherwise(F.coalesce("alias_module", "import_module")))
+    member = F.when(F.col("rung") == "external", F.coalesce("rest", "import_member"))
+    return calls.select("node_id", "seq", "from_fn", "callee", "line", "rung", to.alias("to_key"), outer.alias("alias_module"), member.alias("member"), F.when(F.col("rung") == "unique", "heuristic").otherwise("exact").alias("confidence")).where("to_key is null or to_key != from_fn")
 
 
 def call_edges(resolved: DataFrame) -> DataFrame:
@@ -222,3 +253,21 @@ def api_surface(fns: DataFrame, calls: DataFrame) -> DataFrame:
     """(fn_key, documented, callers): how many other modules call each function that is not internal."""
     callers = calls.where("src != dst").groupBy(F.col("to_key").alias("fn_key")).agg(F.countDistinct("src").alias("callers"))
     return fns.where("not internal").select("fn_key", "documented").join(callers, "fn_key", "left").withColumn("callers", F.coalesce("callers", F.lit(0)))
+
+
+def two_sided(hunks: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(sha, node_id, fn_key, sides): hunks (sha, node_id, side, first, last) met by the functions of their side: `-` of the state before, `+` of that after.
+
+    A function that both sides touch is one row, its sides as `+-`.
+    """
+    old, new = touched(hunks.where("side = '-'"), before).withColumn("side", F.lit("-")), touched(hunks.where("side = '+'"), after).withColumn("side", F.lit("+"))
+    return old.unionByName(new).groupBy("sha", "node_id", "fn_key").agg(F.array_join(F.array_sort(F.collect_set("side")), "").alias("sides"))
+
+
+def entity_index(nodes: DataFrame, fns: DataFrame) -> DataFrame:
+    """(text, entity, kind): modules and dotted functions by name; a namespace above a module by the part of its name, where nothing has it exactly."""
+    exact = nodes.where("module is not null").select(F.col("module").alias("text"), F.col("node_id").alias("entity"), F.lit("module").alias("kind"))
+    exact = exact.union(fns.where(F.col("fn_name").contains(".")).select("fn_name", "fn_key", F.lit("function")))
+    exact = exact.groupBy("text").agg(F.min(F.struct("entity", "kind")).alias("x")).select("text", "x.entity", "x.kind")
+    above = nodes.where("module is not null").select(F.explode(dotted_prefixes(F.col("module"))).alias("text")).distinct().join(exact.select("text"), "text", "left_anti")
+    return exact.unionByName(above.select("text", F.col("text").alias("entity"), F.lit("namespace").alias("kind")))

@@ -6,14 +6,13 @@ import shlex
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def scoped(nodes: DataFrame, prefix: str = "", limit: int = 200, cap: int = 1000) -> DataFrame:
     """Nodes below a prefix, the first by id, with `total`, how many there are; the limit is kept in 1 to cap."""
     held = nodes.where(F.col("node_id").startswith(prefix))
-    ranked = held.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    return ranked.orderBy("node_id").limit(max(1, min(limit, cap)))
+    total = held.agg(F.count(F.lit(1)).alias("total"))
+    return held.orderBy("node_id").limit(max(1, min(limit, cap))).join(F.broadcast(total))  # one row
 
 
 def terms(query: str) -> list[tuple[bool, str]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkloom.functions.scalar import escaped_label, escaped_markdown
 from sparkloom.operators.graph import ancestor_at
@@ -52,11 +53,33 @@ def dot(edges: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     return edges.select(F.concat(F.format_string('  "%s" -> "%s"', escaped_label(F.col("src")), escaped_label(F.col("dst"))), lazy, F.lit(";")).alias("line")).distinct()
 
 
+def exchange_column(findings: DataFrame):
+    level = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])[F.col("severity")]
+    region = F.struct(F.lit(1).alias("startLine"))  # findings are of files: line 1 says no more than the file
+    place = F.when(F.col("node_id").isNotNull(), F.array(F.struct(F.struct(F.struct(F.col("node_id").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))))
+    return F.to_json(F.struct(F.col("check").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), place.alias("locations")))
+
+
 def exchange(findings: DataFrame) -> DataFrame:
     """(result): a JSON result for each finding, as in static analysis results format 2.1.0."""
-    level = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])[F.col("severity")]
-    place = F.array(F.struct(F.struct(F.struct(F.col("node_id").alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
-    return findings.select(F.to_json(F.struct(F.col("check").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), place.alias("locations"))).alias("result"))
+    return findings.select(exchange_column(findings).alias("result"))
+
+
+def exchange_log(findings: DataFrame, tool: str = "sparkloom") -> DataFrame:
+    """(part, at, text): the lines of a whole results log: head, a rule for each check that occurs, results in order, tail.
+
+    Written in the order of part and at it is one JSON document; no row holds more than one result.
+    """
+    spark = findings.sparkSession
+    rules = findings.select("check").distinct().withColumn("at", F.row_number().over(Window.orderBy("check")))  # checks are few
+    rule = F.to_json(F.struct(F.col("check").alias("id"), F.col("check").alias("name"), F.struct(F.col("check").alias("text")).alias("shortDescription")))
+    comma = F.when(F.col("at") > 1, ",").otherwise("")
+    head = '{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":{"name":"' + tool + '","rules":['
+    fixed = spark.createDataFrame([(0, 1, head), (2, 1, ']}},"invocations":[{"executionSuccessful":true}],"results":['), (4, 1, "]}]}")], "part int, at long, text string")
+    keyed = findings.withColumn("result", exchange_column(findings)).withColumn("key", F.concat_ws("\x01", "severity", "check", "node_id", "detail"))
+    spread = keyed.repartitionByRange("key", "result").sortWithinPartitions("key", "result").withColumn("id", F.monotonically_increasing_id())
+    results = spread.select(F.lit(3).alias("part"), F.col("id").alias("at"), F.concat(F.when(F.col("id") > 0, ",").otherwise(""), "result").alias("text"))
+    return fixed.union(rules.select(F.lit(1), F.col("at").cast("long"), F.concat(comma, rule))).union(results)
 
 
 def badge(values: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,29 @@ def owned(files: DataFrame) -> DataFrame:
     name = F.regexp_extract("path", "([^/]+)$", 1)
     folder = F.when(F.contains("path", F.lit("/")), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise(F.lit("."))
     return files.withColumn("owner_of", F.when(name.isin(*OWNERS), folder))
+
+
+def at_revision(artifacts: DataFrame, rev: str) -> DataFrame:
+    """The snapshot of a revision, of artifacts that carry their revision in `rev`; a hash may be given short, if one revision begins so."""
+    revs = artifacts.where(F.col("rev").startswith(rev)).select("rev").distinct().limit(2).collect()
+    exact = [r for r in revs if r["rev"] == rev]
+    if not exact and len(revs) != 1:
+        raise ValueError("no revision, or more than one, begins like that")
+    return artifacts.where(F.col("rev") == (exact or revs)[0]["rev"])
+
+
+def consumers(spark: SparkSession, root: str, name: str = "module_map.json") -> DataFrame:
+    """(consumer, ord, node fields) of the maps that sibling projects have written below a root; the consumer is the folder below the root."""
+    base = re.escape(root.rstrip("/").split("://", 1)[-1])
+    doc = spark.read.option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", name).json(root)
+    who = F.regexp_extract(F.input_file_name(), base + r"/+([^/]+)/", 1)
+    return doc.withColumn("consumer", who).select("consumer", F.posexplode("nodes").alias("ord", "n")).select("consumer", "ord", "n.*")
+
+
+def by_project(trees: dict[str, DataFrame]) -> DataFrame:
+    """Tables of several projects as one, with a column `project`."""
+    out = None
+    for name, rows in sorted(trees.items()):
+        rows = rows.withColumn("project", F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
