@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.scalar import bare_name, dotted_prefixes, normalised, parent_dir, route_path, route_pattern
+from sparkloom.session import stored
 
 
 def module_index(nodes: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def resolve_calls(raw: DataFrame, fns: DataFrame, aliases: DataFrame, guess: boo
     siblings = siblings if siblings is not None else none(f"node_id {name}, name string, fn_key string")
     imports = imports if imports is not None else none(f"node_id {name}, name string, target {name}, module string, member string")
     known = aliases.select("node_id", F.col("alias").alias("head"), F.col("target").alias("alias_target"), F.col("module").alias("alias_module"), F.lit(True).alias("has_alias"))
-    index = function_index(fns)
+    index = stored(function_index(fns), "index")
     prefixes = fns.where(F.col("fn_name").contains(".")).select("node_id", F.substring_index("fn_name", ".", 1).alias("head"), F.lit(True).alias("has_prefix")).distinct()
     named = imports.select("node_id", F.col("name").alias("callee"), F.col("target").alias("import_target"), F.col("module").alias("import_module"), F.col("member").alias("import_member"), F.lit(True).alias("has_import"))
     own = index.select("node_id", F.col("name").alias("callee"), F.col("fn_key").alias("own_key"))

@@ -6,6 +6,8 @@ order requires and calls, events calls at run time.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.session import stored
@@ -59,6 +61,30 @@ SQL: dict[str, str] = {
     "requests": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, url FROM pages",
 }
 
+#: Sources of several shapes, written out of parts and documents: # stands for the key, | for a line break, [[ and ]] for braces, @ for a back tick.
+CODE = {
+    "c": "/* Makes item #. */|int make_#(int a, char *b)|[[|  if (a && b) [[ return a; ]]|  return 0;|]]|static void help_#(void)|[[|  log(\"]]\");|]]|",
+    "java": "package p;|public class T# [[|  /** Makes item #. */|  ~AOverride|  public int make(int a, String b) [[|    if (a > 0 && b != null) [[ return a; ]]|    return 0;|  ]]|  private void help() [[|    log(\"]]\");|  ]]|]]|",
+    "go": "package p||// Makes item #.|func Make#(a int, b string) int [[|  if a > 0 && b != \"\" [[ return a ]]|  return 0|]]|func help() [[|  log(\"]]\")|]]|",
+    "lua": "-- Makes item #.|function M.make_#(a, b)|  if a and b then return a end|  return 0|end|local function help()|  log(\"end\")|end|",
+    "python": "def make_#(a, b):|    \"\"\"Makes item #.\"\"\"|    if a and b:|        return a|    return 0|||def _help():|    log(\"x\")|",
+    "ruby": "class T#|  # Makes item #.|  def make(a, b)|    return a if a && b|    0|  end|  private|  def help|    log(\"end\")|  end|end|".replace("  # Makes", "  %% Makes"),
+}
+
+
+def _written(template: str, key: str) -> str:
+    """An expression of both dialects that fills a template."""
+    marks = {"[[": "chr(123)", "]]": "chr(125)", "|": "chr(10)", "@": "chr(96)", "#": f"CAST({key} AS STRING)", "%%": "'#'", "~A": "'@'", "~O": "'||'"}
+    return "'" + re.sub("|".join(map(re.escape, sorted(marks, key=len, reverse=True))), lambda m: f"' || {marks[m[0]]} || '", template) + "'"
+
+
+SQL |= {
+    "codefiles": "SELECT p_partkey AS k, 'file' || CAST(p_partkey AS STRING) AS node_id, CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(CODE)) + " END AS language, CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN {_written(t, 'p_partkey')}" for i, t in enumerate(CODE.values())) + " END AS content FROM part",
+    "fenced": "SELECT doc_id, " + _written("a @one@ and @@two @x@ b@@ |", "doc_id") + " || CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN {_written(t, 'doc_id')}" for i, t in enumerate(("@@@lua|@no@|~~~~|@no2@|@@@", "~~~~|@no@|@@@|~~~|@no3@|~~~~ |", "@@@@|@@@|@no@|@@@@@", "plain"))) + " END || " + _written("|then @ f# @ ends|%%%% Part # of it|- one|* two|tab: true|", "doc_id") + " || CASE WHEN doc_id % 7 = 0 THEN " + _written("|@@@|@never@", "doc_id") + " ELSE '' END AS content FROM documents",
+    "classdocs": "SELECT p_partkey AS k, 'types' || CAST(p_partkey AS STRING) AS node_id, '---@class C' || CAST(p_partkey AS STRING) || ' : C' || CAST(p_partkey % 7 AS STRING) || ', Base' || chr(10) || '---@field a C' || CAST(p_partkey % 5 AS STRING) || '[] the first' || chr(10) || '---@field b string|D.e' || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || '---@field c table<string, C1>' ELSE '' END || chr(10) || 'local x = 1' AS content FROM part",
+    "specfiles": "SELECT p_partkey AS k, 'spec' || CAST(p_partkey AS STRING) AS node_id, " + _written("return [[|  -- [[ \"no/no\" ]]|  [[ \"own/p#\", lazy = ", "p_partkey") + " || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END || " + _written(", event = [[ \"A#\", \"B\" ]], dependencies = [[ \"dep/d#\" ]] ]],|  [[ src = \"https://h.example/x/y#\", cmd = \"Do#\", keys = [[ [[ \"<leader>#\", \"x\" ]], [[ \"gq\" ]] ]] ]],|]]|", "p_partkey") + " AS content FROM part",
+}
+
 
 def with_clause(recursive: bool = False) -> str:
     """All adapters as common table expressions."""
@@ -92,14 +118,10 @@ class Tables:
 
     @staticmethod
     def _used(text: str) -> list[str]:
-        import re
-
         return [k for k in (*BASE, *SQL) if re.search(rf"(?:FROM|JOIN) {k}\b", text)]
 
     @staticmethod
     def _filled(text: str, used: list[str]) -> str:
-        import re
-
         for k in used:
             text = re.sub(rf"(FROM|JOIN) {k}\b(?! \{{)", rf"\1 {{{k}}} {'' if re.search(rf'(?:FROM|JOIN) {k} [a-z]\b(?!\w)', text) else 'AS ' + k}", text)
         return text

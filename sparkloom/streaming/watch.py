@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.session import dropped, stored
+
 
 def debounced(events: DataFrame, gap: str = "500 milliseconds", late: str | None = "10 seconds", by: str | None = None) -> DataFrame:
     """(key, started, ended, events): bursts of events (ts), each ended by a quiet gap; works on streams and tables alike.
@@ -29,10 +31,16 @@ def daily(events: DataFrame, late: str | None = "1 day", key: str = "name") -> D
 
 
 class Handle:
-    """The latest state of a stream of changed files as a view, and its subscribers."""
+    """The latest state of a stream of changed files, a row for each key, as a view of the session that started it; and its subscribers.
+
+    The state is a table of the shared folder, written anew each batch: of the rows of a key the latest by `order`, so
+    a batch that is delivered again changes nothing.
+    """
 
-    def __init__(self, view: str):
-        self.view, self._subscribers = view, []
+    def __init__(self, view: str, spark: SparkSession, key: str = "path", order: str = "ts"):
+        self.view, self.spark, self.key, self.order = view, spark, key, order
+        self._subscribers: list[Callable[[DataFrame, int], None]] = []
+        self._state: DataFrame | None = None
 
     def on_change(self, call: Callable[[DataFrame, int], None]) -> Callable[[], None]:
         """Call with each batch; the result takes the subscription back."""
@@ -40,8 +48,15 @@ class Handle:
         return lambda: self._subscribers.remove(call) if call in self._subscribers else None
 
     def refresh(self, batch: DataFrame, batch_id: int) -> None:
-        """For foreachBatch: replace the view and tell the subscribers."""
-        batch.createOrReplaceTempView(self.view)
+        """For foreachBatch: bring the view up to date and tell the subscribers."""
+        known = batch if self._state is None else batch.unionByName(batch.sparkSession.read.schema(self._state.schema).parquet(self._state._loom_path))
+        row = F.max_by(F.struct(*known.columns), F.struct(self.order, F.xxhash64(*known.columns)))
+        now = stored(known.groupBy(F.col(self.key).alias("own")).agg(row.alias("row")).select("row.*"), self.view)
+        view = self.spark.read.schema(now.schema).parquet(now._loom_path)
+        view.createOrReplaceTempView(self.view)
+        if self._state is not None:
+            dropped(self._state)
+        self._state = now
         for call in list(self._subscribers):
             call(batch, batch_id)
 
