@@ -17,7 +17,8 @@ def debounced(events: DataFrame, gap: str = "500 milliseconds", late: str | None
     """
     if late and events.isStreaming:
         events = events.withWatermark("ts", late)
-    keys = [F.col(by)] if by else []
+    #: A stream's bursts need a key beside the window; without one, a value that is 0 for every row.
+    keys = [F.col(by)] if by else [(F.unix_timestamp("ts") * 0).alias("all")] if events.isStreaming else []
     out = events.groupBy(F.session_window("ts", gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("events"))
     return out.select(*([by] if by else []), F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "events")
 
