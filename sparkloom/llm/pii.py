@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: The base kinds, in their order, then the further kinds of this method.
 BASE = ("email", "ip", "card", "phone")
-MORE = ("iban", "ssn")
+MORE = ("iban", "ssn", "secret")
 #: The patterns as the contract has them (further kinds: our own).
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -16,6 +16,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9])+",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "secret": r"[A-Za-z0-9_-]{20,}",
 }
 #: Lengths of account numbers by country.
 LENGTHS = {
@@ -48,14 +49,16 @@ LINEAR = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_OF_LENGTH}|[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{_OF_LENGTH})\x20?[A-Z0-9])++)",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
 }
 #: What a match must look like whole, beside the checksums.
 SHAPES = {
     "ip": r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.0*(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.0*(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.0*(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})$",
     "card": r"^([\x20-]?[0-9]){16,19}$",
     "iban": r"^(\x20?[A-Z0-9]){15,34}$",
+    "secret": r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]",
 }
-#: Words near a span that make it likelier, and the score of a span without and with them.
+#: Words near a span that make it likelier, and those that make a span of a further kind less likely.
 CONTEXT = {
     "email": "mail|contact|correo|courriel",
     "ip": "host|server|addr|login",
@@ -63,8 +66,11 @@ CONTEXT = {
     "phone": "phone|tel|call|mobile|fax",
     "iban": "iban|bank|account|konto|compte|cuenta",
     "ssn": "ssn|social security|tax id",
+    "secret": "token|secret|password|passwd|api.?key|access.?key|private.?key|bearer|credential",
 }
-SCORES = {"email": (0.8, 0.95), "ip": (0.6, 0.8), "card": (0.8, 0.95), "phone": (0.6, 0.85), "iban": (0.8, 0.95), "ssn": (0.3, 0.75)}
+AGAINST = {"iban": "sample|placeholder|dummy", "ssn": "serial|invoice|part no|version", "secret": "commit|checksum|digest|revision|sha-?256|md5|uuid"}
+#: A span's score with words against it alone, with none or both, and with words for it alone.
+SCORES = {"email": (0.8, 0.8, 0.95), "ip": (0.6, 0.6, 0.8), "card": (0.8, 0.8, 0.95), "phone": (0.6, 0.6, 0.85), "iban": (0.45, 0.8, 0.95), "ssn": (0.1, 0.3, 0.75), "secret": (0.1, 0.3, 0.8)}
 NEAR, LEAST = 40, 0.5
 CHUNK = 128
 
@@ -113,6 +119,8 @@ def _gate(kind: str, text):
         return text.contains("@")
     if kind == "phone":
         return text.contains("+")
+    if kind == "secret":
+        return F.lower(text).rlike(CONTEXT[kind])
     return F.lit(True)
 
 
@@ -127,7 +135,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     All is done within the row, in the JVM: matches by regexp_extract_all, positions from the lengths of the pieces
     that split leaves between them; no shuffle. Spans stand by kind (base kinds first), then start. Base spans that
     pass their checks always stay; spans of further kinds stay at a score of `least` or more, which nearby words
-    raise. Null text counts as empty and has no spans. Rows with equal ids are treated one by one.
+    raise or lower. Null text counts as empty and has no spans. Rows with equal ids are treated one by one.
     """
     kinds = (*BASE, *MORE)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -147,8 +155,9 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         def one(m, i):
             before, after = F.right(F.get(pieces, i), F.lit(NEAR)), F.left(F.get(pieces, i + 1), F.lit(NEAR))
             start = F.get(F.col(f"s_{k}"), i)
-            near = F.lower(before).rlike(CONTEXT[k]) | F.lower(after).rlike(CONTEXT[k])
-            score = F.when(near, SCORES[k][1]).otherwise(SCORES[k][0])
+            has = lambda words: F.lower(before).rlike(words) | F.lower(after).rlike(words)
+            near, against = has(CONTEXT[k]), has(AGAINST[k]) if k in AGAINST else F.lit(False)
+            score = F.when(near & ~against, SCORES[k][2]).when(against & ~near, SCORES[k][0]).otherwise(SCORES[k][1])
             ok = _valid(k, m, before, after)
             return F.when(ok if k in BASE else ok & (score >= least), F.struct(F.lit(k).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), score.alias("score")))
 
@@ -176,11 +185,11 @@ def _joined(spans):
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and digests of pii_spans: n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """Counts and digests of pii_spans: n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, scores (of the spans, in their order)."""
     found = pii_spans(docs, id_col, text_col)
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
-    return found.select(id_col, *[count(k) for k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select(id_col, *[count(k) for k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), count("secret"), F.array_join(F.transform("spans", lambda x: F.format_number(x["score"], 2)), ",").alias("scores"))
 
 
 def _sql(kind: str) -> str:
@@ -188,7 +197,10 @@ def _sql(kind: str) -> str:
     p = PATTERNS[kind].replace("'", "''")
     digits = "regexp_replace(m[i], '[^0-9]', '', 'g')"
     back = lambda text, n: f"right({text}, {n})"
-    near = f"(regexp_matches(lower({back('p[i]', NEAR)}), '{CONTEXT[kind]}') OR regexp_matches(lower(left(p[i + 1], {NEAR})), '{CONTEXT[kind]}'))"
+    has = lambda words: f"(regexp_matches(lower({back('p[i]', NEAR)}), '{words}') OR regexp_matches(lower(left(p[i + 1], {NEAR})), '{words}'))"
+    near, against = has(CONTEXT[kind]), has(AGAINST[kind]) if kind in AGAINST else "false"
+    low, middle, high = (f"{x:.2f}" for x in SCORES[kind])
+    score = f"CASE WHEN {near} AND NOT {against} THEN '{high}' WHEN {against} AND NOT {near} THEN '{low}' ELSE '{middle}' END"
     luhn = f"list_sum(list_transform(range(1, len({digits}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN substr(reverse({digits}), j, 1)::INT ELSE (substr(reverse({digits}), j, 1)::INT * 2) // 10 + (substr(reverse({digits}), j, 1)::INT * 2) % 10 END)) % 10 = 0"
     code = "replace(m[i], ' ', '')"
     moved = f"(substr({code}, 5) || substr({code}, 1, 4))"
@@ -198,18 +210,20 @@ def _sql(kind: str) -> str:
         "ip": f"regexp_matches(m[i], '{SHAPES['ip']}')",
         "card": f"CASE WHEN regexp_matches(m[i], '{SHAPES['card']}') THEN {luhn} ELSE false END",
         "phone": f"len({digits}) BETWEEN 8 AND 15",
-        "iban": f"CASE WHEN regexp_matches(m[i], '{SHAPES['iban']}') AND NOT regexp_matches(p[i], '[A-Za-z0-9]$') AND NOT regexp_matches(p[i + 1], '^[A-Za-z0-9]') THEN {mod97} ELSE false END",
-        "ssn": f"NOT regexp_matches(p[i], '[0-9-]$') AND NOT regexp_matches(p[i + 1], '^[0-9-]') AND {near}",
+        "iban": f"CASE WHEN regexp_matches(m[i], '{SHAPES['iban']}') AND NOT regexp_matches(p[i], '[A-Za-z0-9]$') AND NOT regexp_matches(p[i + 1], '^[A-Za-z0-9]') THEN {mod97} ELSE false END AND NOT ({against} AND NOT {near})",
+        "ssn": f"NOT regexp_matches(p[i], '[0-9-]$') AND NOT regexp_matches(p[i + 1], '^[0-9-]') AND {near} AND NOT {against}",
+        "secret": f"regexp_matches(m[i], '{SHAPES['secret']}') AND {near} AND NOT {against}",
     }[kind]
     return f"""{kind} AS (SELECT doc_id, list_filter(list_transform(range(1, len(m) + 1), lambda i: CASE WHEN {ok} THEN
         '{kind}:' || (list_sum(list_transform(p[1:i], lambda s: len(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: len(s))), 0))::BIGINT
-        || ':' || (list_sum(list_transform(p[1:i], lambda s: len(s))) + list_sum(list_transform(m[1:i], lambda s: len(s))))::BIGINT END), lambda s: s IS NOT NULL) AS s
+        || ':' || (list_sum(list_transform(p[1:i], lambda s: len(s))) + list_sum(list_transform(m[1:i], lambda s: len(s))))::BIGINT || ':' || {score} END), lambda s: s IS NOT NULL) AS s
         FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS p FROM t))"""
 
 
 def oracle() -> str:
     kinds = (*BASE, *MORE)
     joins = " ".join(f"JOIN {k} ON t.doc_id = {k}.doc_id" for k in kinds)
-    joined = lambda ks: "array_to_string(" + " || ".join(f"{k}.s" for k in ks) + ", ',')"
+    part = lambda ks, p: "array_to_string(list_transform(" + " || ".join(f"{k}.s" for k in ks) + f", lambda x: regexp_extract(x, '{p}', 1)), ',')"
+    joined = lambda ks: part(ks, "^(.*):[0-9.]+$")
     counts = ", ".join(f"len({k}.s) AS n_{k}" for k in BASE)
-    return f"WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {', '.join(map(_sql, kinds))} SELECT t.doc_id, {counts}, sha256({joined(BASE)}) AS base_sha256, {joined(kinds)} AS spans FROM t {joins}"
+    return f"WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {', '.join(map(_sql, kinds))} SELECT t.doc_id, {counts}, sha256({joined(BASE)}) AS base_sha256, {joined(kinds)} AS spans, len(secret.s) AS n_secret, {part(kinds, ':([0-9.]+)$')} AS scores FROM t {joins}"

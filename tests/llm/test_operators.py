@@ -120,6 +120,16 @@ def test_account_numbers_before_capitals(spark):
     assert [[r.text[x.start : x.end] for x in r.spans if x.kind == "iban"] for r in sorted(found)] == want
 
 
+def test_secrets_by_context(spark):
+    """Keys and tokens need a word for them nearby; a word against them takes that back, and lowers a valid account number."""
+    from sparkloom.llm.pii import pii_report
+
+    key = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"
+    texts = [f'token = "{key}"', f"see {key}", f"commit token {key}", f"password: {key[:19]}", "secret: " + "a" * 40, f"Api-Key {key}-x_1 and token {key[::-1]}", f"token far off, {'word ' * 12}{key}", "a sample DE89370400440532013000", "DE89370400440532013000", "IBAN DE89370400440532013000"]
+    got = [(r.n_secret, r.spans, r.scores) for r in sorted(pii_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())]
+    assert got == [(1, "secret:9:49", "0.80"), (0, "", ""), (0, "", ""), (0, "", ""), (0, "", ""), (2, "secret:8:52,secret:63:103", "0.80,0.80"), (0, "", ""), (0, "", ""), (0, "iban:0:22", "0.80"), (0, "iban:5:27", "0.95")]
+
+
 def test_simhash(docs, none):
     from sparkloom.llm import simhash as m
 
