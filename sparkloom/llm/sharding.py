@@ -86,7 +86,7 @@ def laid_out(groups: DataFrame, shards: int) -> DataFrame:
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """(id, size, text_crc32, law, shard, slot, grown_shard) for each row: law `rows`, equal texts kept together.
+    """(id, size, text_crc32, law, shard, slot, grown_shard, text_md5) for each row: law `rows`, equal texts kept together.
 
     Sizes by shard differ by one row at most, exactly: linked documents (texts that occur more than once) start
     as whole groups, but for those at a border, and take part in the propagation under those quotas, documents without a link have no edge to cut and fill what is left.
@@ -114,6 +114,17 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     #: The last shard whose first free place is not after p; shards without free places share the next one's start.
     order = F.size(F.filter(_list(cuts), lambda c: c <= F.col("p"))) - 1
     filled = ranked(alone, [], ["id", "g"], "p", max(8192, buckets)).withColumn("shard", order)
-    each = together.select("id", "size", "crc", "shard").unionByName(filled.select("id", "size", "crc", "shard"))
+    each = together.select("id", "size", "crc", "g", "shard").unionByName(filled.select("id", "size", "crc", "g", "shard"))
     each = ranked(each, ["shard"], ["id", "crc"], "slot", max(1024, buckets))
-    return each.select(F.col("id").alias(id_col), "size", F.col("crc").cast("long").alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return each.select(F.col("id").alias(id_col), "size", F.col("crc").cast("long").alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), F.lower(F.hex("g")).alias("text_md5"))
+
+
+def cut_edges(sharded: DataFrame) -> DataFrame:
+    """One row: linked rows (their text occurs more than once), those outside the shard that has most of their group, and edges cut.
+
+    The copies of a text are linked as a chain along the shards, so a group in k shards cuts k - 1 edges of its size - 1.
+    """
+    parts = sharded.groupBy("text_md5", "shard").agg(F.count(F.lit(1)).alias("n"))
+    groups = parts.groupBy("text_md5").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("shards")).where("n > 1")
+    sums = {"linked": F.sum("n"), "apart": F.sum(F.col("n") - F.col("most")), "edges": F.sum(F.col("n") - 1), "cut": F.sum(F.col("shards") - 1)}
+    return groups.agg(*[F.coalesce(x, F.lit(0)).alias(k) for k, x in sums.items()])

@@ -287,13 +287,16 @@ def test_sharding_of_a_hot_group(spark):
 
 def test_sharding_of_a_doubled_table(spark):
     """Where every row has a copy no shard has room, and yet nearly all pairs are together."""
-    from sparkloom.llm.sharding import shard
+    from sparkloom.llm.sharding import cut_edges, shard
 
     for alone in (0, 20):
         rows = [(i, f"pair {i // 2}" if i >= alone else f"t{i}") for i in range(2000 + alone)]
-        got = shard(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
+        sharded = shard(spark.createDataFrame(rows, "doc_id long, text string"), 10)
+        got = sharded.collect()
         assert set(Counter(r.shard for r in got).values()) == {200 + alone // 10}
         of = {r.doc_id: r.shard for r in got}
+        apart = sum(of[i] != of[i + 1] for i in range(alone, 2000 + alone, 2))
+        assert tuple(cut_edges(sharded).head()) == (2000, apart, 1000, apart)
         assert sum(of[i] != of[i + 1] for i in range(alone, 2000 + alone, 2)) <= 9
 
 
