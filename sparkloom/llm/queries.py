@@ -67,13 +67,13 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
 
 
-def _op11_prefix_trie(spark, sf_dir):
+def op11_prefix_trie(spark, sf_dir):
     from sparkloom.llm.prefixes import prefix_trie
 
     return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-def _op12_url_filters(spark, sf_dir):
+def op12_url_filters(spark, sf_dir):
     from sparkloom.llm.urls import judge
 
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -90,6 +90,6 @@ def queries():
 
 
 def oracle_sql():
-    from sparkloom.llm import audit, exact_dedup, line_dedup, pii
+    from sparkloom.llm import audit, exact_dedup, line_dedup, pii, prefixes
 
-    return {"op2_pii": pii.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op10_line_dedup": line_dedup.ORACLE, "op13_filter_audit": audit.ORACLE}
+    return {"op2_pii": pii.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op10_line_dedup": line_dedup.ORACLE, "op11_prefix_trie": prefixes.ORACLE, "op13_filter_audit": audit.ORACLE}
