@@ -129,8 +129,9 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     all: the marks need no walk of the trie. One group-by of the beginnings then gives each node its members; its
     children, the next steps that members own; its leaves, the members that own their last node where nobody goes on;
     and what its subtree saves, the characters from the node on of all members less those of the nodes they own. A
-    node's owner is a minimum that the map side takes before the shuffle and that is joined back (adaptive execution
-    splits the root's and other crowded nodes' rows), as a window over a node's members would put all in one task.
+    node's owner is a minimum that the map side takes before the shuffle and that is joined back, as a window over a node's members would put all in one task. Both
+    summaries are written before they are joined, so that adaptive execution can split the rows of crowded keys (the root,
+    a very long conversation).
 
     Conversations without turns are members of the root and end there. An empty table has no nodes. See turns() for
     nulls, ties and repeated rows; other columns are not read.
@@ -139,18 +140,18 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     path, lengths = rebuilt(turns(conversations))
     seen = stored(occurrences(path, lengths), "beginnings")
     last = F.col("depth") == F.col("n")
-    owners = seen.groupBy(*node).agg(F.min("conv_id").alias("owner"), F.count(F.lit(1)).alias("members"), F.count_if(last).alias("ended"))
+    owners = stored(seen.groupBy(*node).agg(F.min("conv_id").alias("owner"), F.count(F.lit(1)).alias("members"), F.count_if(last).alias("ended")), "owners")
     marked = seen.join(owners, node)
     owned = F.col("owner") == F.col("conv_id")
     before = F.col("upto") - F.col("chars")
-    of = marked.groupBy("conv_id").agg(
+    paths = marked.groupBy("conv_id").agg(
         F.min(F.when(owned, F.col("depth"))).alias("first"),
         F.min(F.when(owned, before)).alias("free"),
         F.max("upto").alias("total"),
         F.max_by(F.when(~owned, F.col("owner")), F.when(~owned, F.col("depth"))).alias("above"),
         F.max((owned & last & (F.col("members") == F.col("ended"))).cast("long")).alias("leaf"),
     )
-    each = seen.join(of, "conv_id")
+    each = seen.join(stored(paths, "paths"), "conv_id")
     mine = F.coalesce(F.col("depth") >= F.col("first"), F.lit(False))
     next_mine = F.coalesce(F.col("depth") + 1 >= F.col("first"), F.lit(False)) & (F.col("depth") < F.col("n"))
     shared = F.greatest(F.coalesce("free", "total") - before, F.lit(0))
