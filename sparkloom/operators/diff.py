@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.graph import impact_sizes
+
 
 def changed_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, change): removed (in a alone) and added (in b alone)."""
@@ -28,6 +30,12 @@ def count_changes(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame
     return both.withColumn("delta", F.col("after") - F.col("before")).where("delta != 0")
 
 
+def impact_changes(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame], exact: bool = True) -> DataFrame:
+    """(node, before, after, delta) of nodes of both snapshots (edges, nodes) on which another number of nodes depends."""
+    sizes = lambda edges, nodes: nodes.select("node").distinct().join(impact_sizes(edges, exact), "node", "left").select("node", F.coalesce("impact", F.lit(0)).alias("impact"))
+    return count_changes(sizes(*a), sizes(*b), "node", "impact")
+
+
 def cycle_changes(a: DataFrame, b: DataFrame) -> DataFrame:
     """(members, change) of cycles (node, component), compared by their sorted members."""
     names = lambda c: c.groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members")).select("members")

@@ -17,6 +17,7 @@ from sparkloom.operators import resolve as R
 from sparkloom.operators import search as Q
 from sparkloom.operators import sinks as K
 from sparkloom.sources.adapters import Tables, with_clause
+from sparkloom.session import stored
 from sparkloom.streaming import watch as T
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -332,30 +333,58 @@ def module_call_weight(t):
 # graphs
 
 
+MIDDLE = "(SELECT node_id FROM modules WHERE k = (SELECT count(*) // 5 FROM supplier))"
+FAR = "(SELECT max(src) FROM edges)"
+
+
 def _seed(t) -> DataFrame:
     return t.kept("edges").agg(F.min("dst").alias("node"))
 
 
+def _far(t) -> DataFrame:
+    return t.kept("edges").agg(F.max("src").alias("node"))
+
+
+def _middle(t) -> DataFrame:
+    return t.modules.join(t.supplier.agg(F.floor(F.count(F.lit(1)) / 5).alias("k")), "k").select(F.col("node_id").alias("node"))
+
+
 @query("w AS (SELECT (SELECT min(dst) FROM edges) AS node UNION SELECT src FROM w JOIN edges ON dst = node) SELECT w.node, EXISTS (SELECT 1 FROM edges WHERE dst = (SELECT min(dst) FROM edges) AND src = w.node) AS direct FROM w WHERE node <> (SELECT min(dst) FROM edges)", True)
 def impact_closure(t):
     return G.impact(t.kept("edges"), _seed(t)).select("node", "direct")
 
 
-@query("w AS (SELECT (SELECT min(dst) FROM edges) AS node, 0 AS d UNION SELECT dst, d + 1 FROM w JOIN edges ON src = node WHERE d < 3) SELECT node, min(d) AS d FROM w GROUP BY node", True)
+@query("i AS (SELECT dst AS node, src AS other FROM edges UNION SELECT i.node, e.src FROM i JOIN edges e ON e.dst = i.other) SELECT node, count(*) FILTER (WHERE other <> node) AS impact FROM (FROM i UNION SELECT src, src FROM edges) GROUP BY node", True)
+def impact_sizes(t):
+    """How many modules depend on each module, of all modules at once."""
+    return G.impact_sizes(t.kept("edges"))
+
+
+@query(f"w AS (SELECT {FAR} AS node, 0 AS d UNION SELECT dst, d + 1 FROM w JOIN edges ON src = node WHERE d < 3) SELECT node, min(d) AS d FROM w GROUP BY node", True)
 def bounded_walk(t):
-    return G.walk(t.kept("edges"), _seed(t), 3)
+    return G.walk(t.kept("edges"), _far(t), 3)
 
 
-@query("u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), w AS (SELECT (SELECT min(dst) FROM edges) AS node, 0 AS d UNION SELECT dst, d + 1 FROM w JOIN u ON src = node WHERE d < 2) SELECT node, min(d) AS d FROM w GROUP BY node", True)
+@query(f"u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), w AS (SELECT {MIDDLE} AS node, 0 AS d UNION SELECT dst, d + 1 FROM w JOIN u ON src = node WHERE d < 2) SELECT node, min(d) AS d FROM w GROUP BY node", True)
 def k_hop(t):
-    return G.neighbourhood(t.kept("edges"), _seed(t), 2)
+    return G.neighbourhood(t.kept("edges"), _middle(t), 2)
 
 
-@query("w AS (SELECT (SELECT min(dst) FROM edges) AS node, 0 AS d UNION SELECT dst, d + 1 FROM w JOIN edges ON src = node WHERE d < 40) SELECT count(*) > 0 AS found, coalesce(min(d), 0)::BIGINT AS steps FROM w WHERE node = (SELECT max(src) FROM edges WHERE dst IN (SELECT src FROM edges))", True)
+@query(f"w AS (SELECT {FAR} AS node, 0 AS d UNION SELECT dst, d + 1 FROM w JOIN edges ON src = node WHERE d < 40) SELECT count(*) > 0 AS found, coalesce(min(d), 0)::BIGINT AS steps FROM w WHERE node = (SELECT min(dst) FROM edges)", True)
 def shortest_path_length(t):
-    start = _seed(t).head()[0]
-    end = t.edges.join(t.edges.select(F.col("src").alias("dst")), "dst", "left_semi").agg(F.max("src")).head()[0]
-    return G.shortest_path(t.edges, start, end).agg((F.count(F.lit(1)) > 0).alias("found"), F.count(F.lit(1)).alias("steps"))
+    path = G.shortest_path(t.kept("edges"), _far(t), _seed(t))
+    return path.agg((F.count(F.lit(1)) > 0).alias("found"), F.count(F.lit(1)).alias("steps"))
+
+
+@query(RESOLVED + f""", re AS (SELECT node_id AS src, dst, bool_and(deferred) AS deferred, least(arg_min(line, seq), min(line) FILTER (WHERE NOT deferred))::BIGINT AS line FROM rr WHERE dst <> node_id GROUP BY 1, 2),
+w AS (SELECT (SELECT max(src) FROM re) AS node, 0 AS d UNION SELECT dst, d + 1 FROM w JOIN re ON src = node WHERE d < 40), l AS (SELECT node, min(d) AS d FROM w GROUP BY node),
+b AS (SELECT node AS dst, d, (SELECT min(src) FROM re JOIN l x ON re.src = x.node WHERE re.dst = l.node AND x.d = l.d - 1) AS src FROM l WHERE d > 0),
+p AS (SELECT src, dst, d FROM b WHERE dst = (SELECT min(dst) FROM re) UNION ALL SELECT b.src, b.dst, b.d FROM p JOIN b ON b.dst = p.src)
+SELECT p.d AS step, p.src, p.dst, deferred, line FROM p JOIN re ON p.src = re.src AND p.dst = re.dst""", True)
+def shortest_path(t):
+    """The edges of a shortest path, whether each is deferred, and its line."""
+    edges = stored(R.require_edges(R.resolve_requires(t.requires_raw, t.nodes)), "requires").select("src", "dst", "deferred", "line")
+    return G.shortest_path(edges, edges.agg(F.max("src").alias("node")), edges.agg(F.min("dst").alias("node")))
 
 
 @query("c AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM c JOIN edges e ON c.dst = e.src), s AS (SELECT a.src AS node, a.dst AS other FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src) SELECT node, least(node, min(other)) AS component FROM s WHERE node <> other GROUP BY node", True)
@@ -369,10 +398,10 @@ def layering(t):
     return G.layers(t.edges)
 
 
-@query("""o AS (SELECT (SELECT min(dst) FROM edges) AS node, 0 AS d UNION SELECT dst, d + 1 FROM o JOIN edges ON src = node WHERE d < 3), i AS (SELECT (SELECT min(dst) FROM edges) AS node, 0 AS d UNION SELECT src, d + 1 FROM i JOIN edges ON dst = node WHERE d < 3),
+@query(f"""o AS (SELECT {MIDDLE} AS node, 0 AS d UNION SELECT dst, d + 1 FROM o JOIN edges ON src = node WHERE d < 3), i AS (SELECT {MIDDLE} AS node, 0 AS d UNION SELECT src, d + 1 FROM i JOIN edges ON dst = node WHERE d < 3),
 a AS (SELECT node, min(d) AS d FROM o GROUP BY node), b AS (SELECT node, min(d) AS d FROM i GROUP BY node) SELECT node, d AS layer FROM a UNION ALL SELECT node, -d FROM b WHERE node NOT IN (SELECT node FROM a)""", True)
 def signed_layering(t):
-    return G.signed_layers(t.kept("edges"), _seed(t), 3)
+    return G.signed_layers(t.kept("edges"), _middle(t), 3)
 
 
 @query("SELECT node_id, CASE depth WHEN 3 THEN (SELECT p.parent_id FROM nodes p WHERE p.node_id = n.parent_id) WHEN 2 THEN parent_id ELSE node_id END AS group_id FROM nodes n")
@@ -380,9 +409,10 @@ def ancestor_groups(t):
     return G.ancestor_at(t.nodes, 1)
 
 
-@query("SELECT src, dst FROM edges WHERE (SELECT min(dst) FROM edges) IN (src, dst)")
+@query(f"SELECT src, dst FROM edges WHERE {MIDDLE} IN (src, dst)")
 def neighbours(t):
-    return t.edges.join(F.broadcast(_seed(t)), F.expr("node in (src, dst)")).select("src", "dst")
+    edges = t.kept("edges")
+    return edges.join(_middle(t).toDF("src"), "src", "left_semi").union(edges.join(_middle(t).toDF("dst"), "dst", "left_semi").select("src", "dst")).distinct()
 
 
 @query("SELECT from_key, to_key FROM calls WHERE to_key IN (SELECT fn_key FROM fns WHERE k < 400)")
@@ -405,18 +435,27 @@ def structural_diff(t):
 
 def _snapshots(t):
     e = R.resolve_requires(t.requires_raw, t.nodes)
-    return R.require_edges(e.where("seq % 3 < 2")), R.require_edges(e.where("seq % 3 > 0"))
+    return R.require_edges(e.where("line <= 4")), R.require_edges(e.where("line >= 4"))
 
 
-@query(RESOLVED + """, a AS (SELECT node_id AS src, dst, bool_and(deferred) AS d FROM rr WHERE dst <> node_id AND seq % 3 < 2 GROUP BY 1, 2), b AS (SELECT node_id AS src, dst, bool_and(deferred) AS d FROM rr WHERE dst <> node_id AND seq % 3 > 0 GROUP BY 1, 2)
+@query(RESOLVED + """, a AS (SELECT node_id AS src, dst, bool_and(deferred) AS d FROM rr WHERE dst <> node_id AND line <= 4 GROUP BY 1, 2), b AS (SELECT node_id AS src, dst, bool_and(deferred) AS d FROM rr WHERE dst <> node_id AND line >= 4 GROUP BY 1, 2)
 SELECT * FROM (SELECT coalesce(a.src, b.src) AS src, coalesce(a.dst, b.dst) AS dst, CASE WHEN b.src IS NULL THEN 'removed' WHEN a.src IS NULL THEN 'added' WHEN a.d <> b.d THEN 'changed' END AS change FROM a FULL JOIN b ON a.src = b.src AND a.dst = b.dst) WHERE change IS NOT NULL""")
 def edge_diff(t):
     return D.edge_changes(*_snapshots(t))
 
 
-@query("""a AS (SELECT path, count(DISTINCT sha) AS before FROM commits WHERE day < DATE '1998-01-01' GROUP BY 1), b AS (SELECT path, count(DISTINCT sha) AS after FROM commits WHERE day >= DATE '1998-01-01' GROUP BY 1) SELECT a.path, before, after, after - before AS delta FROM a JOIN b ON a.path = b.path WHERE after <> before""")
+#: Two snapshots of the graph: the first lacks some thirds, the second every other block's ring.
+BEFORE, AFTER = "NOT (line > 5 AND k % 5 = 0)", "NOT (line < 4 AND CAST(floor(k / 8) AS BIGINT) % 2 = 0)"
+
+
+@query(f"""ea AS (SELECT DISTINCT src, dst FROM links WHERE {BEFORE}), eb AS (SELECT DISTINCT src, dst FROM links WHERE {AFTER}),
+ia AS (SELECT dst AS node, src AS other FROM ea UNION SELECT i.node, e.src FROM ia i JOIN ea e ON e.dst = i.other), ib AS (SELECT dst AS node, src AS other FROM eb UNION SELECT i.node, e.src FROM ib i JOIN eb e ON e.dst = i.other),
+na AS (SELECT m.node_id, count(DISTINCT other) FILTER (WHERE other <> m.node_id) AS before FROM modules m LEFT JOIN ia ON ia.node = m.node_id GROUP BY 1), nb AS (SELECT m.node_id, count(DISTINCT other) FILTER (WHERE other <> m.node_id) AS after FROM modules m LEFT JOIN ib ON ib.node = m.node_id GROUP BY 1)
+SELECT na.node_id AS node, before, after, after - before AS delta FROM na JOIN nb ON na.node_id = nb.node_id WHERE before <> after""", True)
 def impact_changed(t):
-    return D.count_changes(A.commit_counts(t.commits.where("day < date'1998-01-01'")), A.commit_counts(t.commits.where("day >= date'1998-01-01'")), "path", "commits")
+    """How many modules depend on each module, in both snapshots, where that differs."""
+    links, nodes = t.kept("links"), t.modules.select(F.col("node_id").alias("node"))
+    return D.impact_changes(*[(links.where(w).select("src", "dst").distinct(), nodes) for w in (BEFORE, AFTER)])
 
 
 # search

@@ -167,10 +167,10 @@ def external_weights(t):
     return V.external_weights(t.requires_raw.where("module like 'ext.%'").select("node_id", "module", F.lit(1).alias("cnt")))
 
 
-@query("""o AS (SELECT (SELECT min(dst) FROM edges) AS node, 0 AS d UNION SELECT dst, d + 1 FROM o JOIN edges ON src = node WHERE d < 2), l AS (SELECT node, min(d) AS layer FROM o GROUP BY node)
+@query("""o AS (SELECT (SELECT max(src) FROM edges) AS node, 0 AS d UNION SELECT dst, d + 1 FROM o JOIN edges ON src = node WHERE d < 2), l AS (SELECT node, min(d) AS layer FROM o GROUP BY node)
 SELECT DISTINCT 'ext:' || r.module AS node, (SELECT max(layer) + 1 FROM l) AS layer, r.node_id AS src FROM requires_raw r JOIN l ON r.node_id = l.node WHERE starts_with(r.module, 'ext.')""", True)
 def external_leaves(t):
-    seed = t.edges.agg(F.min("dst").alias("node"))
+    seed = t.edges.agg(F.max("src").alias("node"))
     layers = G.walk(t.edges, seed, 2).withColumnRenamed("d", "layer")
     return V.external_leaves(layers, t.requires_raw.where("module like 'ext.%'"))
 

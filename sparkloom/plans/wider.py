@@ -15,7 +15,7 @@ from sparkloom.operators import search as Q
 from sparkloom.operators import sinks as K
 from sparkloom.operators import views as V
 from sparkloom.plans import registry
-from sparkloom.plans.catalog import FINDINGS, FOUND, SPANS, SQL, _findings, query
+from sparkloom.plans.catalog import AFTER, BEFORE, FINDINGS, FOUND, SPANS, SQL, _findings, query
 from sparkloom.sources import files as S_FILES
 from sparkloom.sources import lexers
 
@@ -227,12 +227,13 @@ def not_hidden(t):
     return Q.without(t.modules, t.modules.where("k % 3 = 0").select("node_id"), "node_id").select("module")
 
 
-@query("""p AS (SELECT min(src) AS a, (SELECT min(dst) FROM edges WHERE src = (SELECT min(src) FROM edges)) AS b FROM edges) SELECT least(a, b) || ',' || greatest(a, b) AS members, 'removed' AS change FROM p""")
+@query(f"""ea AS (SELECT DISTINCT src, dst FROM links WHERE {BEFORE}), ra AS (SELECT src, dst FROM ea UNION SELECT r.src, e.dst FROM ra r JOIN ea e ON r.dst = e.src), ca AS (SELECT a.src AS node, string_agg(a.dst, ',' ORDER BY a.dst) AS members FROM ra a JOIN ra b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src HAVING count(*) > 1),
+eb AS (SELECT DISTINCT src, dst FROM links WHERE {AFTER}), rb AS (SELECT src, dst FROM eb UNION SELECT r.src, e.dst FROM rb r JOIN eb e ON r.dst = e.src), cb AS (SELECT a.src AS node, string_agg(a.dst, ',' ORDER BY a.dst) AS members FROM rb a JOIN rb b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src HAVING count(*) > 1)
+SELECT DISTINCT members, 'removed' AS change FROM ca WHERE members NOT IN (SELECT members FROM cb) UNION SELECT DISTINCT members, 'added' FROM cb WHERE members NOT IN (SELECT members FROM ca)""", True)
 def changed_cycles(t):
-    """A cycle of two modules that the later snapshot no longer has."""
-    first = t.kept("edges").groupBy("src").agg(F.min("dst").alias("dst")).orderBy("src").limit(1)
-    pair = first.union(G.turned(first))
-    return D.cycle_changes(G.cycles(pair), G.cycles(first))
+    """Cycles that one of the two snapshots has."""
+    links = t.kept("links")
+    return D.cycle_changes(*[G.cycles(links.where(w).select("src", "dst").distinct()) for w in (BEFORE, AFTER)])
 
 
 @query("""SELECT fn_key, array_to_string(string_split(content, chr(10))[line:line + least(n, 40) - 1], chr(10)) AS snippet, greatest(n - 40, 0)::INT AS omitted FROM (SELECT node_id AS fn_key, content, 11 AS line, CASE WHEN k % 3 = 0 THEN 60 ELSE 4 END AS n FROM luafiles)""")
