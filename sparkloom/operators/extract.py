@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.operators.intervals import inside
+
 #: Marker kinds and their spellings, longest first where one begins another.
 MARKERS = {
     "TODO": ["TODO"], "FIX": ["FIXME", "FIXIT", "FIX", "BUG", "ISSUE"], "HACK": ["HACK"], "WARN": ["WARNING", "WARN", "XXX"],
@@ -39,8 +41,9 @@ def lua_requires(files: DataFrame) -> DataFrame:
 
 def deferred(requires: DataFrame, spans: DataFrame) -> DataFrame:
     """requires with deferred: whether the line lies within a function's lines (node_id, first, last)."""
-    inside = requires.join(spans, "node_id").where("line between first and last").select("node_id", "line").distinct().withColumn("deferred", F.lit(True))
-    return requires.join(inside, ["node_id", "line"], "left").withColumn("deferred", F.coalesce("deferred", F.lit(False)))
+    held = inside(requires.select("node_id", "line").distinct(), "line", spans.select("node_id", "first", "last"), "first", "last", ["node_id"])
+    held = held.select("node_id", "line").distinct().withColumn("deferred", F.lit(True))
+    return requires.join(held, ["node_id", "line"], "left").withColumn("deferred", F.coalesce("deferred", F.lit(False)))
 
 
 def markers(files: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.scalar import bare_name, dotted_prefixes, normalised, parent_dir, route_path, route_pattern
+from sparkloom.operators.intervals import overlapping
 from sparkloom.session import stored
 
 
@@ -191,17 +192,17 @@ def spans_of(fns: DataFrame) -> DataFrame:
     return fns.withColumn("last", F.coalesce("line_end", nxt)).withColumn("approximate", F.col("line_end").isNull())
 
 
-def touched(hunks: DataFrame, fns: DataFrame, width: int = 64) -> DataFrame:
-    """(sha, node_id, fn_key): functions whose lines overlap a hunk's; an equi-join on line buckets, then the overlap.
+def touched(hunks: DataFrame, fns: DataFrame) -> DataFrame:
+    """(sha, node_id, fn_key): functions whose lines overlap a hunk's, by covers of dyadic intervals: a hunk of n lines is 2 log n rows at most.
 
-    A span without an end is met by the last bucket of any hunk at or after its start, through a join of its own.
+    The last function of a file may have no end: it is met by any hunk that ends at or after its start, through a join
+    of its own.
     """
-    spans = spans_of(fns).select("node_id", "fn_key", "line", "last")
-    closed = spans.where("last is not null and last >= line").withColumn("b", F.explode(F.sequence(F.floor(F.col("line") / width), F.floor(F.col("last") / width))))
-    cut = hunks.withColumn("b", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.greatest("first", "last_line") / width)))) if "last_line" in hunks.columns else hunks.withColumnRenamed("last", "last_line").withColumn("b", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last_line") / width))))
-    hit = cut.join(closed, ["node_id", "b"]).where("not (last_line < line or first > last)").select("sha", "node_id", "fn_key")
-    endless = spans.where("last is null")
-    rest = hunks.withColumnRenamed("last", "last_line").join(endless, "node_id").where("last_line >= line").select("sha", "node_id", "fn_key")
+    spans = spans_of(fns).select("node_id", "fn_key", F.col("line").alias("b_first"), F.col("last").alias("b_last"))
+    cut = hunks.select("sha", "node_id", F.col("first").alias("a_first"), F.col("last").alias("a_last"))
+    hit = overlapping(cut, spans, ["node_id"]).select("sha", "node_id", "fn_key")
+    endless = spans.where("b_last is null")
+    rest = cut.join(endless, "node_id").where("a_last >= b_first").select("sha", "node_id", "fn_key")
     return hit.union(rest).distinct()
 
 
@@ -238,15 +239,48 @@ def ab_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.withColumn("delta", F.col("calls_b") - F.col("calls_a"))
 
 
+#: In a route's segment, what stands for any text without a slash: `:name` or `{name}`.
+PARAMETER = r"(:[A-Za-z_][A-Za-z0-9_]*|\{[^}/]*\})"
+
+
+def _codes(route: str) -> Column:
+    """A route's segments, told apart: `*` a parameter, `~` and the segment where only a part is one, `=` and the segment else."""
+    code = lambda x: F.when(x.rlike(f"^{PARAMETER}$"), "*").when(x.rlike(PARAMETER), F.concat(F.lit("~"), x)).otherwise(F.concat(F.lit("="), x))
+    return F.transform(F.filter(F.split(route, "/"), lambda x: x != ""), code)
+
+
+def route_trie(routes: DataFrame) -> DataFrame:
+    """(node, depth, key, pattern, next) of routes (route): each beginning of a route is a node; a key is what a path's segment is joined by, a pattern what it must fit besides."""
+    steps = routes.select(_codes("route").alias("codes")).distinct().select("codes", F.posexplode("codes").alias("depth", "code"))
+    upto = lambda n: F.array_join(F.slice("codes", 1, n), "/")
+    part = F.col("code").startswith("~")
+    key = F.when(part, "~").otherwise(F.col("code"))
+    return steps.select(upto(F.col("depth")).alias("node"), "depth", key.alias("key"), F.when(part, route_pattern(F.substring("code", 2, 1 << 30))).alias("pattern"), upto(F.col("depth") + 1).alias("next")).distinct()
+
+
 def route_coverage(routes: DataFrame, requests: DataFrame) -> DataFrame:
-    """(route, method, hits): requests whose path fits the route's pattern, by equal method or a route for all.
+    """(route, method, hits): requests whose path fits the route, by equal method or a route for all; a last slash is free.
 
-    Paths are made distinct and routes broadcast (they are declared in code, and few), so the regular expressions
-    run once for each different path and route.
+    Different paths walk the trie of the routes a segment at a time: joins by equality of node and segment, literal or
+    parameter, as many as the longest route has segments (a segment that is a parameter in part is joined by its node and
+    held against its pattern). So neither side is sent whole, and no path is tried against all routes.
     """
     paths = requests.groupBy(F.upper("method").alias("m"), route_path(F.col("url")).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    want = routes.select("route", "method", route_pattern(F.col("route")).alias("pattern"))
-    met = F.broadcast(want).join(paths, F.expr("(upper(method) = m or lower(method) = 'all') and p rlike pattern")).groupBy("route", "method").agg(F.sum("n").alias("hits"))
+    want = routes.select("route", "method", F.array_join(_codes("route"), "/").alias("leaf"))
+    trie = stored(route_trie(routes), "trie")
+    deep = trie.agg(F.max("depth") + 1).head()[0] or 0
+    bare = F.regexp_replace(F.regexp_replace("p", "^/", ""), "/$", "")
+    parts = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "/"))
+    at = paths.where(F.startswith("p", F.lit("/"))).select("m", "n", parts.alias("parts"), F.lit("").alias("node")).where(F.size("parts") <= deep)
+    done = at.where(F.size("parts") == 0)
+    for depth in range(deep):
+        own = F.get("parts", F.lit(depth))
+        each = at.where(F.size("parts") > depth).select("*", own.alias("own"), F.explode(F.array(F.concat(F.lit("="), own), F.lit("*"), F.lit("~"))).alias("key")).where("own != ''")
+        met = each.join(trie.where(F.col("depth") == depth).select("node", "key", "pattern", "next"), ["node", "key"]).where("pattern is null or own rlike pattern")
+        at = met.select("m", "n", "parts", F.col("next").alias("node"))
+        done = done.unionByName(at.where(F.size("parts") == depth + 1))
+    fits = done.groupBy("m", F.col("node").alias("leaf")).agg(F.sum("n").alias("n"))
+    met = want.join(fits, "leaf").where("upper(method) = m or lower(method) = 'all'").groupBy("route", "method").agg(F.sum("n").alias("hits"))
     return want.select("route", "method").join(met, ["route", "method"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 

@@ -274,6 +274,13 @@ def hunk_overlap(t):
     return R.touched(t.hunks, t.fns)
 
 
+@query(SPANS + " SELECT h.sha, h.node_id, h.first AS line, bool_or(coalesce(h.first BETWEEN sp.line AND sp.last, false)) AS deferred FROM (SELECT DISTINCT sha, node_id, first FROM hunks) h LEFT JOIN sp ON h.node_id = sp.node_id GROUP BY ALL")
+def deferred_lines(t):
+    """Lines of changes, and whether each lies inside a function."""
+    lines = t.hunks.select("sha", "node_id", F.col("first").alias("line")).distinct()
+    return X.deferred(lines, R.spans_of(t.fns).select("node_id", F.col("line").alias("first"), "last"))
+
+
 @query(HIT.replace("FROM hunks h", "FROM (SELECT sha, node_id, first + 380 AS first, last + 380 AS last FROM hunks) h").replace("1000000000", "0") + " SELECT DISTINCT h.sha, h.node_id FROM hunks h WHERE (h.sha, h.node_id) NOT IN (SELECT (sha, node_id) FROM ht)")
 def hunks_unattributed(t):
     far = t.hunks.withColumn("first", F.col("first") + 380).withColumn("last", F.col("last") + 380)
