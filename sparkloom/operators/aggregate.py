@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.scalar import pct
-from sparkloom.operators.graph import ancestors
+from sparkloom.operators.trees import subtree_sums
 
 #: Good and bad thresholds of each verdict, whether high is good, and its weight.
 VERDICTS = {
@@ -23,10 +23,13 @@ def kind_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rollup(nodes: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:
-    """Each node's columns summed over its subtree: the tree's own roll-up, by a join with the ancestors."""
-    up = ancestors(nodes).select("node_id", "ancestor")
-    return up.join(stats, "node_id").groupBy(F.col("ancestor").alias("node_id")).agg(*[F.sum(c).alias(c) for c in columns])
+#: What a node counts, itself and below.
+COUNTERS = ("modules", "namespaces", "files_lua", "files_md", "files_other", "lines", "functions", "symbols", "types")
+
+
+def rollup(nodes: DataFrame, stats: DataFrame, columns: list[str] = list(COUNTERS)) -> DataFrame:
+    """Each node's columns summed over its subtree, as differences of running sums along the tree's interval labels."""
+    return subtree_sums(nodes, stats, columns)
 
 
 def coverage(fns: DataFrame, by: str, flag: str) -> DataFrame:
@@ -178,7 +181,15 @@ def compare_matrix(rows: DataFrame, key: str, attributes: list[str]) -> DataFram
     return long.groupBy("attribute").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "value"))), lambda x: x["value"]), "|").alias("vals"), (F.countDistinct("value") > 1).alias("differs"))
 
 
-def facets(nodes: DataFrame) -> DataFrame:
-    """(node_id, languages): the languages below each node, sorted."""
-    up = ancestors(nodes).select("node_id", "ancestor")
-    return up.join(nodes.where("language is not null").select("node_id", "language"), "node_id").groupBy(F.col("ancestor").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"))
+def facets(nodes: DataFrame, most: int = 1000) -> DataFrame:
+    """(node_id, languages): the languages below each node, sorted; a counter for each language along the interval labels.
+
+    Languages are those of a registry; more than `most` are an error.
+    """
+    known = [r[0] for r in nodes.where("language is not null").select("language").distinct().orderBy("language").limit(most + 1).collect()]
+    if len(known) > most:
+        raise ValueError(f"more than {most} languages")
+    own = nodes.select("node_id", *[(F.col("language").eqNullSafe(n)).cast("long").alias(f"l{k}") for k, n in enumerate(known)])
+    sums = subtree_sums(nodes, own, [f"l{k}" for k in range(len(known))])
+    names = F.array_compact(F.array(*[F.when(F.col(f"l{k}") > 0, n) for k, n in enumerate(known)]).cast("array<string>"))
+    return sums.select("node_id", F.array_join(names, ",").alias("languages")).where("languages != ''")

@@ -282,20 +282,6 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFram
     return walk(both_ways(edges), seeds, hops)
 
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """(node_id, ancestor, up) of nodes (node_id, parent_id), each node its own at 0; rounds follow the depth of the tree."""
-    parents = nodes.where("parent_id is not null").select(F.col("node_id").alias("dst"), F.col("parent_id").alias("src"))
-    found = walk(turned(parents), nodes.select("node_id", F.col("node_id").alias("node")), keys=("node_id",))
-    return found.select("node_id", F.col("node").alias("ancestor"), F.col("d").alias("up"))
-
-
-def ancestor_at(nodes: DataFrame, depth: int) -> DataFrame:
-    """(node_id, group_id): the ancestor at a depth, or the node itself above it."""
-    tops = ancestors(nodes).join(nodes.select(F.col("node_id").alias("ancestor"), F.col("depth").alias("at")), "ancestor")
-    chosen = tops.where(F.col("at") <= depth).groupBy("node_id").agg(F.max_by("ancestor", "at").alias("group_id"))
-    return chosen
-
-
 def weights(calls: DataFrame) -> DataFrame:
     """(src, dst, n): distinct call edges between two different modules."""
     return calls.where("src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))

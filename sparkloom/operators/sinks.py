@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.scalar import escaped_label, escaped_markdown
-from sparkloom.operators.graph import ancestor_at
+from sparkloom.operators.trees import ancestor_at
 
 #: Levels of findings in the exchange format, and colours of a badge from a percentage.
 LEVELS = {"error": "error", "warn": "warning", "info": "note"}

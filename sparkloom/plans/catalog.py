@@ -16,6 +16,7 @@ from sparkloom.operators import graph as G
 from sparkloom.operators import resolve as R
 from sparkloom.operators import search as Q
 from sparkloom.operators import sinks as K
+from sparkloom.operators import trees as TR
 from sparkloom.sources.adapters import Tables, with_clause
 from sparkloom.session import stored
 from sparkloom.streaming import watch as T
@@ -56,10 +57,20 @@ def kind_counts(t):
     return A.kind_counts(t.nodes)
 
 
-@query("""a AS (SELECT node_id, node_id AS anc FROM nodes UNION ALL SELECT a.node_id, n.parent_id FROM a JOIN nodes n ON a.anc = n.node_id WHERE n.parent_id IS NOT NULL), s AS (SELECT node_id, count(*) AS functions, sum(complexity) AS complexity FROM fns GROUP BY node_id)
-SELECT a.anc AS node_id, sum(functions)::BIGINT AS functions, sum(complexity)::BIGINT AS complexity FROM a JOIN s ON a.node_id = s.node_id GROUP BY a.anc""", True)
+@query("""a AS (SELECT node_id, node_id AS anc FROM nodes UNION ALL SELECT a.node_id, n.parent_id FROM a JOIN nodes n ON a.anc = n.node_id WHERE n.parent_id IS NOT NULL),
+f AS (SELECT f.node_id, count(*) AS functions, sum(len(string_split(content, chr(10)))) AS lines, count(DISTINCT shape) AS symbols, count(DISTINCT kind) AS types FROM fns f JOIN luafiles l ON f.fn_key = l.node_id GROUP BY f.node_id),
+d AS (SELECT near, count(*) AS files_md FROM markdown GROUP BY near)
+SELECT a.anc AS node_id, sum((kind = 'module')::BIGINT)::BIGINT AS modules, sum((kind = 'namespace')::BIGINT)::BIGINT AS namespaces, sum(coalesce(language = 'lua', false)::BIGINT)::BIGINT AS files_lua, sum(coalesce(files_md, 0))::BIGINT AS files_md,
+sum(coalesce(language <> 'lua', false)::BIGINT)::BIGINT AS files_other, sum(coalesce(lines, 0))::BIGINT AS lines, sum(coalesce(functions, 0))::BIGINT AS functions, sum(coalesce(symbols, 0))::BIGINT AS symbols, sum(coalesce(types, 0))::BIGINT AS types
+FROM a JOIN nodes n ON a.node_id = n.node_id LEFT JOIN f ON f.node_id = n.node_id LEFT JOIN d ON d.near = n.path GROUP BY a.anc""", True)
 def rollup_stats(t):
-    return A.rollup(t.nodes, t.fns.groupBy("node_id").agg(F.count(F.lit(1)).alias("functions"), F.sum("complexity").alias("complexity")), ["functions", "complexity"])
+    """The nine counters of every node, its subtree included."""
+    files = t.luafiles.select(F.col("node_id").alias("fn_key"), F.size(F.split("content", "\n")).alias("n"))
+    work = t.fns.join(files, "fn_key").groupBy("node_id").agg(F.count(F.lit(1)).alias("functions"), F.sum("n").alias("lines"), F.countDistinct("shape").alias("symbols"), F.countDistinct("kind").alias("types"))
+    docs = t.markdown.groupBy(F.col("near").alias("path")).agg(F.count(F.lit(1)).alias("files_md"))
+    flag = lambda c: F.coalesce(c.cast("long"), F.lit(0))
+    kinds = t.nodes.select("node_id", "path", flag(F.col("kind") == "module").alias("modules"), flag(F.col("kind") == "namespace").alias("namespaces"), flag(F.col("language") == "lua").alias("files_lua"), flag(F.col("language") != "lua").alias("files_other"))
+    return A.rollup(t.nodes, kinds.join(work, "node_id", "left").join(docs, "path", "left").select("node_id", *A.COUNTERS))
 
 
 @query("SELECT node_id, sum(tested::INT)::BIGINT AS hit, count(*) AS total, floor(1000 * sum(tested::INT) / count(*) + 0.5) / 10 AS pct FROM fns WHERE NOT internal GROUP BY node_id")
@@ -413,7 +424,7 @@ def signed_layering(t):
 
 @query("SELECT node_id, CASE depth WHEN 3 THEN (SELECT p.parent_id FROM nodes p WHERE p.node_id = n.parent_id) WHEN 2 THEN parent_id ELSE node_id END AS group_id FROM nodes n")
 def ancestor_groups(t):
-    return G.ancestor_at(t.nodes, 1)
+    return TR.ancestor_at(t.nodes, 1)
 
 
 @query(f"SELECT src, dst FROM edges WHERE {MIDDLE} IN (src, dst)")
