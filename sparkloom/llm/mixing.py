@@ -15,6 +15,8 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK, SHARD_SLOTS, SEED, BUCKETS = 256, 16384, 20240229, 256
 #: A hash bucket of a source for each 2^26 words of all, BUCKETS at least.
 WORDS_BITS = 26
+#: Copies of a repeated row that are listed at once.
+COPIES = 65536
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
@@ -129,7 +131,7 @@ def draws(counts: list[int], shards: int, first: int, end: int, seed: int = SEED
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, block: int = BLOCK, per_shard: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """The mix, and the sources: (shard, slot, source number, block, epoch, id, first word, words, key), (key, id, size, sid, source_size, target).
+    """The mix, and the sources: (shard, slot, source number, block, epoch, id, first word, words, key, words of one copy), (key, id, size, copies, sid, source_size, target).
 
     Each source's words form one stream (documents in pseudorandom order), cut into blocks of `block` words; a
     document stands in the blocks it overlaps. Offsets in the stream come from sums of hash buckets, so a source
@@ -138,17 +140,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     a source is block perm(k mod blocks) of epoch k div blocks, so no block is drawn more than twice, and the last
     slot is cut so that a source gives its target to the word. Null text has no words; documents without words
     are never drawn; rows are told apart by key, a digest of id, source and text, so those without an id and other texts
-    under one id are documents of their own; rows that repeat all three are one document (sizes add up). An empty table gives no rows.
+    under one id are documents of their own; rows that repeat all three lie one after the other in the stream (size is that of all copies). An empty table gives no rows.
     """
     spark = docs.sparkSession
     sized = docs.select(row_key(id_col, source_col, text_col).alias("k"), F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = stored(sized.groupBy("k", "id", "source").agg(F.sum("size").alias("size")), "sizes")
+    sized = stored(sized.groupBy("k", "id", "source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("copies")), "sizes")
     rows = sorted(sized.groupBy("source").agg(F.sum("size").alias("n")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["n"] for r in rows]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share)
     table = spark.createDataFrame([(i, r["source"], n, a) for i, (r, n, a) in enumerate(zip(rows, sizes, aims, strict=True))], "sid int, source string, source_size long, target double")
     table = F.broadcast(table) if len(rows) <= 100_000 else table
-    known = sized.join(table.withColumnRenamed("source", "_s"), sized.source.eqNullSafe(F.col("_s"))).select("k", "id", "size", "sid", "source_size", "target")
+    known = sized.join(table.withColumnRenamed("source", "_s"), sized.source.eqNullSafe(F.col("_s"))).select("k", "id", "size", "copies", "sid", "source_size", "target")
     dealt = known.where("size > 0").withColumn("b", F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(max(BUCKETS, sum(sizes) >> WORDS_BITS))))
     sums = dealt.groupBy("sid", "b").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -156,9 +158,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     inside = F.sum("size").over(Window.partitionBy("sid", "b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = dealt.join(sums, ["sid", "b"]).withColumn("at", F.col("base") + inside)
     first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
-    parts = placed.select("k", "id", "sid", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
+    parts = placed.select("k", "id", "sid", "at", "size", (F.col("size") / F.col("copies")).cast("long").alias("one"), F.explode(F.sequence(first, last)).alias("block"))
     low, high = F.greatest(F.col("at"), F.col("block") * block), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
-    parts = parts.select("k", "sid", "block", "id", (low - F.col("at")).alias("first"), (low - F.col("block") * block).alias("within"), (high - low).alias("words"))
+    parts = parts.select("k", "sid", "block", "id", "one", (low - F.col("at")).alias("first"), (low - F.col("block") * block).alias("within"), (high - low).alias("words"))
 
     ends = [slots(n, a, i, block, seed) for i, (n, a) in enumerate(zip(sizes, aims, strict=True))]
     counts, many = [e[0] for e in ends], sum(e[0] for e in ends)
@@ -182,15 +184,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = F.least(F.col("words"), F.col("most") - F.col("within"))
     #: A few ranges make many slots, which the planner cannot know: a broadcast of them would grow with the data.
     mixed = drawn.hint("merge").join(parts, ["sid", "block"]).withColumn("words", taken).where("words > 0")
-    return mixed.select("shard", "slot", "sid", "block", "epoch", "id", "first", "words", "k"), known
+    return mixed.select("shard", "slot", "sid", "block", "epoch", "id", "first", "words", "k", "one"), known
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each document (rows with one id, source and text are one)."""
+    """doc_id, size, source_size, target, taken of each row of docs; rows that repeat id, source and text have a row each, with the words that are taken of that copy."""
     mixed, known = mix(docs, **options)
-    both = known.select("k", "id", "sid", "size", "source_size", "target", F.lit(0).cast("long").alias("words")).unionByName(
-        mixed.select("k", "id", "sid", F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("source_size"), F.lit(None).cast("double").alias("target"), F.col("words").cast("long")))
-    out = both.groupBy("k", "id", "sid").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("words").alias("taken"))
+    many = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))).alias("low")
+    rows = known.select("*", many).select("*", F.explode(F.sequence("low", F.least(F.col("low") + COPIES, "copies") - 1)).alias("copy"))
+    rows = rows.select("k", "copy", "id", "sid", (F.col("size") / F.col("copies")).cast("long").alias("size"), "source_size", "target", F.lit(0).cast("long").alias("words"))
+    end = F.col("first") + F.col("words")
+    cut = mixed.select("*", F.explode(F.sequence(F.expr("first div one"), F.expr("(first + words - 1) div one"))).alias("copy"))
+    words = F.least(end, (F.col("copy") + 1) * F.col("one")) - F.greatest("first", F.col("copy") * F.col("one"))
+    cut = cut.select("k", "copy", "id", "sid", F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("source_size"), F.lit(None).cast("double").alias("target"), words.cast("long").alias("words"))
+    out = rows.unionByName(cut).groupBy("k", "copy", "id", "sid").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("words").alias("taken"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 

@@ -259,6 +259,22 @@ def test_mixing_tells_rows_apart(spark):
     assert {(r.doc_id, r.source, w[0]) for r in got for w in r.text.split()} == {(i, s, t[0]) for i, t, s in rows if t}
 
 
+def test_mixing_reports_each_repeated_row(spark, monkeypatch):
+    """Rows that repeat id, source and text are rows of their own: none gives more than 2 times its words, and all reach the target."""
+    from collections import Counter
+
+    from sparkloom.llm import mixing as m
+
+    monkeypatch.setattr(m, "COPIES", 4)
+    rows = [(1, "a b", "s")] * 2 + [(2, " ".join(f"w{k}" for k in range(37)), "s")] * 11 + [(None, "x y z", "t")] * 3 + [(3, None, "s")] * 5 + [(4, "one", None)]
+    got = m.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=8).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len((t or "").split())) for i, t, _ in rows)
+    assert all(0 <= r.taken <= 2 * r.size for r in got)
+    for source in (407 + 4, 9, 1):
+        of = [r for r in got if r.source_size == source]
+        assert of and abs(sum(r.taken for r in of) - of[0].target) <= 1
+
+
 def test_sharding(docs, none):
     from sparkloom.llm.sharding import shard
 
