@@ -255,3 +255,29 @@ def test_words_do_not_cross_the_network(spark):
     texts = d.select("id", "text", F.unhex(F.sha2("text", 256)).alias("sha")).groupBy("sha").agg(F.any_value("text").alias("text"), F.min("id").alias("least"))
     plan = word_counts(texts)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and word_counts(texts).select("words", "distinct").collect() == [(3, 2)]
+
+
+def test_shards_swap_within_their_room():
+    """No shard takes in more than its room and what leaves it; where all are full, circles of moves are granted whole."""
+    from sparkloom.llm.sharding import granted
+
+    r = random.Random(8)
+    for _ in range(50):
+        n = r.randrange(2, 9)
+        asked = {(s, t): [r.randrange(1, 5) for _ in range(r.randrange(1, 4))] for s in range(n) for t in range(n) if s != t and r.random() < 0.5}
+        spare = [r.choice((0, 0, 3, 50)) for _ in range(n)]
+        take = granted(asked, spare)
+        flow = {k: sum(asked[k][:m]) for k, m in take.items()}
+        for t in range(n):
+            assert sum(v for k, v in flow.items() if k[1] == t) - sum(v for k, v in flow.items() if k[0] == t) <= spare[t]
+    ring = {(0, 1): [4], (1, 2): [4], (2, 0): [4], (3, 0): [2]}
+    assert granted(ring, [0, 0, 0, 0]) == {(0, 1): 1, (1, 2): 1, (2, 0): 1, (3, 0): 0}
+
+
+def test_propagation_and_not_the_start_brings_copies_together(spark):
+    from sparkloom.llm.sharding import cut_edges, shard
+
+    rows = [(i, f"pair {i // 2}" if i < 1200 else f"t{i}") for i in range(2000)]
+    trace: list[int] = []
+    sharded = shard(spark.createDataFrame(rows, "doc_id long, text string"), 10, trace=trace)
+    assert max(trace) > 480 and trace[-1] == 0 and cut_edges(sharded).head()["cut"] == 0
