@@ -42,6 +42,61 @@ def declared_params(signature: Column) -> Column:
     return F.filter(F.transform(F.split(inside, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def balanced(pieces: Column, sep: str) -> Column:
+    """Neighbouring pieces joined by sep until as many brackets are closed as were opened: parts in which no bracket is left open.
+
+    A fold over pieces and not over characters; what is open at the end is the last part.
+    """
+    count = lambda x, chars: F.length(x) - F.length(F.translate(x, chars, ""))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("depth"))
+
+    def step(a, x):
+        now = F.when(a["open"].isNull(), x).otherwise(F.concat(a["open"], F.lit(sep), x))
+        depth = a["depth"] + count(x, "({<") - count(x, ")}>")
+        whole = depth <= 0
+        return F.struct(F.when(whole, F.array_append(a["done"], now)).otherwise(a["done"]).alias("done"), F.when(~whole, now).alias("open"), F.when(whole, 0).otherwise(depth).alias("depth"))
+
+    return F.aggregate(pieces, start, step, lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["open"])))
+
+
+def typed(text: Column) -> Column:
+    """(type, rest) of `type rest`: the first blank outside brackets parts them."""
+    parts = balanced(F.split(text, " "), " ")
+    return F.struct(F.get(parts, F.lit(0)).alias("type"), F.ltrim(F.array_join(F.slice(parts, 2, 1 << 30), " ")).alias("rest"))
+
+
+def param_info(value: Column) -> Column:
+    """(name, type, optional, desc) of a @param's text; a `?` after the name or the type makes it optional."""
+    name = F.regexp_extract(value, r"^(\S+)", 1)
+    both = typed(F.regexp_extract(value, r"^\S+\s*([\s\S]*)$", 1))
+    bare = lambda c: F.regexp_replace(c, r"\?$", "")
+    return F.struct(bare(name).alias("name"), bare(both["type"]).alias("type"), (name.endswith("?") | both["type"].endswith("?")).alias("optional"), both["rest"].alias("desc"))
+
+
+def return_info(value: Column) -> Column:
+    """(type, name, desc) of a @return's text; name null where no word follows the type."""
+    both = typed(value)
+    name = F.regexp_extract(both["rest"], r"^([A-Za-z_][A-Za-z0-9_]*)", 1)
+    return F.struct(both["type"].alias("type"), F.when(name != "", name).alias("name"), F.regexp_replace(both["rest"], r"^[A-Za-z_][A-Za-z0-9_]*\s*", "").alias("desc"))
+
+
+def overload_info(value: Column) -> Column:
+    """(params, returns) of an @overload's text `fun(a: T, b?: U): R, S`; both empty where it is no function type or is not closed."""
+    commas = lambda c: F.filter(F.transform(balanced(F.split(c, ","), ","), lambda x: F.trim(x)), lambda x: x != "")
+    head = F.get(balanced(F.transform(F.split(value, r"\)"), lambda x: F.concat(x, F.lit(")"))), ""), F.lit(0))
+    closed = value.rlike(r"^fun\s*\(") & (F.length(F.translate(head, "({<", "")) == F.length(F.translate(head, ")}>", ""))) & value.startswith(head)
+    inside = F.regexp_replace(F.regexp_replace(head, r"^fun\s*\(", ""), r"\)$", "")
+    after = F.regexp_replace(F.substr(value, F.length(head) + 1), r"^\s*:\s*", "")
+
+    def one(x):
+        name = F.regexp_extract(x, r"^([A-Za-z0-9_.?]+)\s*:", 1)
+        kind = F.when(name == "", x).otherwise(F.regexp_replace(x, r"^[A-Za-z0-9_.?]+\s*:\s*", ""))
+        return F.struct(F.when(name == "", "_").otherwise(F.regexp_replace(name, r"\?$", "")).alias("name"), kind.alias("type"), name.endswith("?").alias("optional"))
+
+    none = F.array().cast("array<string>")
+    return F.struct(F.transform(F.when(closed, commas(inside)).otherwise(none), one).alias("params"), F.when(closed, commas(after)).otherwise(none).alias("returns"))
+
+
 def documented(summary: Column, internal: Column, declared: Column, params: Column, method: Column, judged: Column) -> Column:
     """Whether a function counts as documented: not internal, a summary, and its declared parameters named in order."""
     named = F.when(method & (F.get(params, 0) == "self"), F.slice(params, F.lit(2), F.greatest(F.size(params), F.lit(1)))).otherwise(params)

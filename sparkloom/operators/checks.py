@@ -160,8 +160,14 @@ def undocumented_params(fns: DataFrame) -> DataFrame:
 
 
 def param_mismatch(fns: DataFrame) -> DataFrame:
-    pairs = F.arrays_zip("declared", "params")
-    off = F.exists(pairs, lambda x: x["declared"].isNotNull() & x["params"].isNotNull() & (x["declared"] != "...") & (x["declared"] != x["params"]))
+    """fns (node_id, fn_key, fn_name, declared, params): a name declared and another documented in its place.
+
+    A method's `self` is not in its declaration where the colon gives it, and need not be documented where it is declared: it is
+    left out of both before places are compared.
+    """
+    own = lambda c: F.when((F.get(c, F.lit(0)) == "self") & (F.col("fn_name").contains(":") | (F.get("declared", F.lit(0)) == "self")), F.slice(c, 2, 1 << 30)).otherwise(F.col(c))
+    pairs = F.arrays_zip(own("declared").alias("d"), own("params").alias("p"))
+    off = F.exists(pairs, lambda x: x["d"].isNotNull() & x["p"].isNotNull() & (x["d"] != "...") & (x["d"] != x["p"]))
     return finding(fns.where(off), "info", "param-name-mismatch", detail="fn_key")
 
 
@@ -175,13 +181,18 @@ def invalid_tools(tools: DataFrame) -> DataFrame:
     return finding(tools.where("name is null or trim(name) = ''"), "warn", "tools-spec-invalid", node=F.lit(None), detail="raw")
 
 
-def dead_functions(fns: DataFrame, calls: DataFrame, runtime: DataFrame | None = None, see: DataFrame | None = None, no_caller: bool = False) -> DataFrame:
-    """Functions that nothing calls or refers to: file-local (no dot in the name), internal, or with no_caller any; run-time calls clear them."""
+def dead_functions(fns: DataFrame, calls: DataFrame, runtime: DataFrame | None = None, see: DataFrame | None = None, no_caller: bool = False, local_refs: DataFrame | None = None) -> DataFrame:
+    """Functions that nothing calls or refers to: file-local (no dot in the name), internal, or with no_caller any.
+
+    Run-time calls clear them, and so do local_refs (fn_key, local_refs): names passed as values in the file.
+    """
     left = fns.join(calls.select(F.col("to_key").alias("fn_key")), "fn_key", "left_anti")
     if see is not None:
         left = left.join(see, F.col("fn_name") == F.col("target"), "left_anti").join(see, bare_name(F.col("fn_name")) == F.col("target"), "left_anti")
     if runtime is not None:
         left = left.join(runtime.where("calls > 0").select("fn_key"), "fn_key", "left_anti")
+    if local_refs is not None:
+        left = left.join(local_refs.where("local_refs > 0").select("fn_key"), "fn_key", "left_anti")
     variant = F.when(~F.col("fn_name").rlike("[.:]"), "file-local").when(F.col("internal"), "internal").when(F.lit(no_caller), "no-caller")
     return finding(left.withColumn("v", variant).where("v is not null"), "info", "dead-function", detail=F.concat_ws(" ", "fn_key", "v"))
 
@@ -199,6 +210,11 @@ def check(name: str):
     return add
 
 
+def extra(*tables) -> list[DataFrame]:
+    """The findings of all rules that are registered, each given the same tables."""
+    return [rule(*tables).select("severity", "check", "node_id", "detail") for rule in EXTRA.values()]
+
+
 def all_of(*rules: DataFrame) -> DataFrame:
     """The union of findings, each with its message, numbered in total order (severity, check, node, detail)."""
     out = rules[0]

@@ -223,6 +223,14 @@ def doc_blocks(tags: DataFrame) -> DataFrame:
     return out.select("node_id", "owner", "summary", "params", see.alias("see"), "todo", "bug", "test", "deprecated", "internal", "example")
 
 
+def doc_signatures(tags: DataFrame) -> DataFrame:
+    """(node_id, owner, params, returns, overloads): what blocks say of types, read from @param, @return and @overload in their order."""
+    from sparkloom.functions import scalar as S
+
+    held = lambda t, v: F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == t, F.struct("line", F.col("value").alias("v"))))), lambda x: v(x["v"]))
+    return tags.groupBy("node_id", "owner").agg(held("param", S.param_info).alias("params"), held("return", S.return_info).alias("returns"), held("overload", S.overload_info).alias("overloads"))
+
+
 def export_name(files: DataFrame) -> DataFrame:
     """(node_id, exported): the local that the last return at the margin gives, bare or within setmetatable; null if neither."""
     pattern = r"(?m)^return\s+(?:setmetatable\s*\(\s*)?([A-Za-z_][A-Za-z0-9_]*)\s*(?:[,)].*)?$"

@@ -595,6 +595,12 @@ def debounce_sessions(t):
     return T.debounced(t.telemetry, "5 minutes", by="event_type")
 
 
+@query("""g AS (SELECT ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 1 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM telemetry WINDOW w AS (ORDER BY ts)), h AS (SELECT *, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS b FROM g) SELECT min(ts) AS started, max(ts) + INTERVAL 1 MINUTE AS ended, count(*) AS events FROM h GROUP BY b""")
+def bursts_without_key(t):
+    """Bursts of all events, worked on by slices of a day."""
+    return T.debounced_in_slices(t.telemetry, 60_000, 86_400)
+
+
 @query("SELECT day::VARCHAR AS day, name, count(*) AS n FROM telemetry GROUP BY 1, 2")
 def telemetry_daily(t):
     return T.daily(t.telemetry).withColumn("day", F.col("day").cast("string"))

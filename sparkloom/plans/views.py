@@ -233,21 +233,39 @@ def dead_see(t):
     return C.dead_see(X.doc_blocks(X.doc_tags(t.luafiles)), t.fns.select(F.col("fn_name").alias("target")))
 
 
-@query("""SELECT 'info' AS severity, 'undocumented-param' AS "check", node_id, node_id || '#go' AS detail FROM luafiles""")
+#: By shape of a signature: declared names, documented names, parameters of its longest overload.
+SHAPES = "sh AS (SELECT node_id, k, CASE WHEN k % 6 = 1 THEN 'M:go' ELSE 'M.go' END || k AS fn_name, CASE k % 6 WHEN 0 THEN ['cb'] WHEN 1 THEN ['b'] WHEN 2 THEN ['self', 'c'] WHEN 3 THEN ['y', '...'] WHEN 4 THEN ['a', 'b', 'c'] ELSE ['a', 'b'] END AS declared, CASE k % 6 WHEN 0 THEN ['cb'] WHEN 1 THEN ['self', 'b'] WHEN 2 THEN ['c'] WHEN 3 THEN ['x'] ELSE [] END AS params, CASE WHEN k % 6 = 4 THEN 3 ELSE 0 END AS over FROM signatures)"
+
+
+@query(SHAPES + """ SELECT 'info' AS severity, 'undocumented-param' AS "check", node_id, fn_name AS detail FROM sh WHERE len(list_filter(declared, lambda x: x <> '...')) > len(params) AND NOT (len(params) = 0 AND over >= len(declared))""")
 def undocumented_params(t):
     return C.undocumented_params(_declared(t))
 
 
 def _declared(t):
-    """Blocks with what the function below declares: a and b."""
-    return X.doc_blocks(X.doc_tags(t.luafiles)).select("node_id", F.concat("node_id", F.lit("#go")).alias("fn_key"), F.array(F.lit("a"), F.lit("b")).alias("declared"), "params", F.array().cast("array<int>").alias("overloads"), "example")
+    """Functions with what they declare, what their blocks document, and the parameters of their overloads."""
+    pattern = r"function ([A-Za-z0-9_.:]+)\(([^)]*)\)"
+    owners = X.lines(t.signatures).select("node_id", F.col("line").alias("owner"), F.regexp_extract("text", pattern, 1).alias("fn_name"), F.filter(F.transform(F.split(F.regexp_extract("text", pattern, 2), ","), lambda x: F.trim(x)), lambda x: x != "").alias("declared")).where("fn_name != ''")
+    said = X.doc_signatures(X.doc_tags(t.signatures))
+    names = F.transform("params", lambda x: x["name"])
+    return owners.join(said, ["node_id", "owner"]).select("node_id", F.col("fn_name").alias("fn_key"), "fn_name", "declared", names.alias("params"), F.transform("overloads", lambda x: F.size(x["params"])).alias("overloads"))
 
 
-@query("""SELECT 'info' AS severity, 'param-name-mismatch' AS "check", node_id, node_id || '#go' AS detail FROM luafiles""")
+@query(SHAPES + """ SELECT 'info' AS severity, 'param-name-mismatch' AS "check", node_id, fn_name AS detail FROM (SELECT *, CASE WHEN params[1] = 'self' THEN params[2:] ELSE params END AS p, CASE WHEN declared[1] = 'self' THEN declared[2:] ELSE declared END AS d FROM sh) WHERE len(list_filter(list_zip(d, p), lambda x: x[1] IS NOT NULL AND x[2] IS NOT NULL AND x[1] <> '...' AND x[1] <> x[2])) > 0""")
 def param_mismatches(t):
     return C.param_mismatch(_declared(t))
 
 
+@query("""SELECT node_id, CASE k % 6 WHEN 0 THEN 'cb/fun(a: table<string, X' || k || '[]>, b: int)||Y' || k || '/true/The (call' WHEN 1 THEN 'self/T' || k || '/false/;b/{x: int, y: P' || k || '}/false/Opts of it' WHEN 2 THEN 'c/T' || k || '/true/' WHEN 3 THEN 'x/number/false/' ELSE '' END AS params,
+CASE k % 6 WHEN 0 THEN 'P<A' || k || ', B>?/out/The one (' || k || ')' WHEN 3 THEN '/-/' ELSE '' END AS returns, CASE k % 6 WHEN 4 THEN 'a:string,b?:table<string, int>,_:fun(z: Q' || k || ')>int,R<A, ' || k || '>;>' ELSE '' END AS overloads FROM signatures""")
+def type_texts(t):
+    """What @param, @return and @overload say, brackets of all kinds nested in types."""
+    said = X.doc_signatures(X.doc_tags(t.signatures))
+    word = lambda x, *names: F.concat_ws("/", *[F.coalesce(x[n].cast("string"), F.lit("-")) for n in names])
+    over = lambda o: F.concat(F.array_join(F.transform(o["params"], lambda x: F.concat(x["name"], F.when(x["optional"], "?").otherwise(""), F.lit(":"), x["type"])), ","), F.lit(">"), F.array_join(o["returns"], ","))
+    return said.select("node_id", F.array_join(F.transform("params", lambda x: word(x, "name", "type", "optional", "desc")), ";").alias("params"), F.array_join(F.transform("returns", lambda x: word(x, "type", "name", "desc")), ";").alias("returns"), F.array_join(F.transform("overloads", over), ";").alias("overloads"))
+
+
 @query("""SELECT 'warn' AS severity, 'example-does-not-parse' AS "check", node_id, node_id || '#go' AS detail FROM luafiles WHERE k % 2 = 1""")
 def unbalanced_examples(t):
     odd = t.luafiles.withColumn("content", F.when(F.col("k") % 2 == 1, F.replace("content", F.lit("--- run("), F.lit("--- run(("))).otherwise(F.col("content")))

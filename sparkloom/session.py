@@ -64,6 +64,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def made(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the application's part of the shared folder."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The folders in a folder, none if it is not there."""
+    fs, target = _fs(spark, path)
+    return [str(x.getPath()) for x in fs.listStatus(target) if x.isDirectory()] if fs.exists(target) else []
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        fs, target = _fs(spark, path)
+        fs.delete(target, True)
+
+
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """stored(df), and its number of rows, taken while it is written: one job."""
     seen = Observation()

@@ -123,3 +123,43 @@ def test_handle_and_bursts_on_a_stream(spark, tmp_path):
     sink = T.debounced(stream).writeStream.format("memory").queryName("bursts").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     sink.awaitTermination()
     assert spark.table("bursts").columns == ["started", "ended", "events"]
+
+
+def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
+    """Bytes written follow the batch; another handle goes on from the state; a batch that comes again changes nothing."""
+    from sparkloom.session import listed
+    from sparkloom.streaming import watch as T
+
+    state = f"file://{tmp_path}/state"
+    batch = lambda names, second: spark.createDataFrame([(n, second) for n in names], "path string, s int").selectExpr("path", "timestamp_seconds(s) AS ts", "'x' AS note")
+    handle = T.Handle("state_of_files", spark, buckets=8, state=state)
+    handle.refresh(batch([f"f{k}" for k in range(200)], 10), 0)
+    assert len(listed(spark, f"{state}/rows-1")) == 8 and spark.table("state_of_files").count() == 200
+    handle.refresh(batch(["f7"], 20), 1)
+    assert len(listed(spark, f"{state}/rows-2")) == 1
+    again = T.Handle("state_of_files", spark, buckets=8, state=state)
+    found = lambda: rows(spark.table("state_of_files").selectExpr("path", "unix_seconds(ts)"))
+    want = sorted([(f"f{k}", 20 if k == 7 else 10) for k in range(200)])
+    assert found() == want
+    again.refresh(batch(["f7"], 20), 1)
+    again.refresh(batch(["f8"], 5), 2)
+    assert found() == want
+    again.refresh(batch(["new"], 5), 3)
+    again.refresh(batch([], 5), 4)
+    assert len(found()) == 201
+
+
+def test_bursts_in_slices_are_those_of_sessions(spark):
+    import random
+
+    from sparkloom.streaming import watch as T
+
+    r = random.Random(1)
+    times, at = [], 0
+    for _ in range(400):
+        at += r.choice((0, 100, 499, 500, 501, 900, 2500))
+        times.append(at)
+    events = spark.createDataFrame([(t,) for t in times] + [(None,)], "ms long").selectExpr("timestamp_millis(ms) AS ts")
+    for seconds in (1, 7, 3600):
+        assert rows(T.debounced_in_slices(events, 500, seconds)) == rows(T.debounced(events.where("ts is not null")))
+    assert T.debounced_in_slices(events.limit(0)).collect() == []
