@@ -57,6 +57,56 @@ def markers(files: DataFrame) -> DataFrame:
     return got.select("node_id", "line", kinds[F.col("word")].alias("kind"), "word", F.when(author != "", author).alias("author"), F.trim(F.regexp_extract("m", pattern, 3)).alias("text"))
 
 
+#: By family of languages: comments (block, then line), then strings: alternatives of one expression.
+QUOTED = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' + r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+LEXES = {
+    "lua": (r"--\[(?<a>=*)\[[\s\S]*?\]\k<a>\]|--[^\n]*+", r"\[(?<b>=*)\[[\s\S]*?\]\k<b>\]|" + QUOTED),
+    "braces": (r"/\*[\s\S]*?\*/|//[^\n]*+", QUOTED + r"|`[^`]*+`"),
+    "hash": (r"#[^\n]*+", r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''|" + QUOTED),
+}
+
+
+def tokens(files: DataFrame, family: str = "lua", keep: tuple[str, ...] = ("node_id",)) -> DataFrame:
+    """(keep, pos, line, kind, text) of files (keep, content): comments, strings and words in their order, by one expression.
+
+    The alternatives take a text from left to right, so what stands in a string is no comment and the other way round. What is
+    between tokens is matched too, and a token's line is the newlines of all before it: a running sum over the
+    file's tokens. A string that is not closed is no token; a block comment that is not closed ends with its line.
+    """
+    comment, string = LEXES[family]
+    parts = F.regexp_extract_all("content", F.lit(rf"(?:{comment})|(?:{string})|[A-Za-z_][A-Za-z0-9_]*+|[\s\S]"), F.lit(0))
+    rows = files.select(*keep, F.posexplode(parts).alias("pos", "text"))
+    before = Window.partitionBy(*keep).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    breaks = F.length("text") - F.length(F.translate("text", "\n", ""))
+    real = rows.where(F.col("text").rlike(r"^[A-Za-z_]|[\s\S]{2}|\n")).withColumn("line", (F.coalesce(F.sum(breaks).over(before), F.lit(0)) + 1).cast("int"))
+    kind = F.when(F.col("text").rlike(f"^(?:{comment})$"), "comment").when(F.col("text").rlike("^[A-Za-z_]"), "word").otherwise("string")
+    return real.where("text != '\\n'").select(*keep, "pos", "line", kind.alias("kind"), "text")
+
+
+def comment_markers(found: DataFrame, keep: tuple[str, ...] = ("node_id",)) -> DataFrame:
+    """(keep, line, nth, kind, word, author, text) of tokens: all markers of each line of a comment, each with the text up to the next."""
+    words = sorted((w for ws in MARKERS.values() for w in ws), key=lambda w: (-len(w), w))
+    mark = rf"(?<![A-Za-z0-9_])({'|'.join(words)})\s*(?:\(([^)]*)\))?\s*:"
+    bare = F.regexp_replace("text", r"^--\[=*\[|\]=*\]$|\*/$|^(?:--+|//+|/\*+|#+)", "")
+    rows = found.where("kind = 'comment'").select(*keep, "line", F.posexplode(F.split(bare, "\n", -1)).alias("below", "said"))
+    pieces = F.slice(F.split(F.regexp_replace("said", mark, "\x01$1\x02$2\x02"), "\x01", -1), 2, 1 << 30)
+    each = rows.select(*keep, (F.col("line") + F.col("below")).alias("line"), F.posexplode(pieces).alias("nth", "piece")).withColumn("p", F.split("piece", "\x02", 3))
+    kinds = F.create_map(*[F.lit(x) for k, ws in MARKERS.items() for w in ws for x in (w, k)])
+    author = F.col("p")[1]
+    return each.select(*keep, "line", "nth", kinds[F.col("p")[0]].alias("kind"), F.col("p")[0].alias("word"), F.when(author != "", author).alias("author"), F.trim(F.col("p")[2]).alias("text"))
+
+
+def local_refs(fns: DataFrame, found: DataFrame) -> DataFrame:
+    """fns (node_id, fn_key, fn_name) with local_refs: how often a function's bare name stands in its file, in code, beyond its declarations."""
+    from sparkloom.functions.scalar import bare_name
+
+    named = fns.select("node_id", "fn_key", bare_name(F.col("fn_name")).alias("text"))
+    declared = named.groupBy("node_id", "text").agg(F.count(F.lit(1)).alias("own"))
+    seen = found.where("kind = 'word'").groupBy("node_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    refs = F.greatest(F.coalesce("n", F.lit(0)) - F.col("own"), F.lit(0))
+    return named.join(declared, ["node_id", "text"]).join(seen, ["node_id", "text"], "left").select("node_id", "fn_key", refs.alias("local_refs"))
+
+
 def code_spans(files: DataFrame) -> DataFrame:
     """(node_id, line, text): spans in backticks outside fenced blocks, trimmed; those in double backticks come first and may hold single ones."""
     rows = files.select("node_id", F.posexplode(F.split("content", "\n", -1)).alias("at", "text"))

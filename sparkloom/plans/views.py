@@ -309,3 +309,31 @@ def dotted_names(t):
 @query("""SELECT event_type AS stage, count(*) AS ms, floor(count(*) * 1000 / (SELECT count(*) FROM events) + 0.5) / 10 AS share FROM events GROUP BY event_type""")
 def stage_shares(t):
     return V.stage_shares(t.events.groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("ms")))
+
+
+#: The tokens of commented sources, by another expression: no string of them has a bracket or an escape.
+TOKENS = r"""tk AS (SELECT node_id, k, unnest(p) AS text, generate_subscripts(p, 1) AS pos FROM (SELECT node_id, k, regexp_extract_all(content, '--\[\[(?:[^\]]|\][^\]])*\]\]|--[^\n]*|"[^"\n]*"|\[\[(?:[^\]]|\][^\]])*\]\]|[A-Za-z_][A-Za-z0-9_]*|(?s:.)') AS p FROM commented)),
+tl AS (SELECT *, 1 + coalesce(sum(length(text) - length(replace(text, chr(10), ''))) OVER (PARTITION BY node_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM tk)"""
+
+
+@query(TOKENS + r""", c AS (SELECT node_id, line, string_split(text, chr(10)) AS ls FROM tl WHERE starts_with(text, '--')), r AS (SELECT node_id, line + generate_subscripts(ls, 1) - 1 AS line, unnest(ls) AS said FROM c),
+m AS (SELECT node_id, line, string_split(regexp_replace(regexp_replace(said, '\]\]$', ''), '(^|[^A-Za-z0-9_])(FIXME|FIX|TODO|HACK|NOTE|WARN|PERF|XXX|INFO|TEST|BUG)\s*(?:\(([^)]*)\))?\s*:', '\1' || chr(1) || '\2' || chr(2) || '\3' || chr(2), 'g'), chr(1))[2:] AS ps FROM r),
+e AS (SELECT node_id, line, generate_subscripts(ps, 1) - 1 AS nth, string_split(unnest(ps), chr(2)) AS p FROM m)
+SELECT node_id, line::INT AS line, nth::INT AS nth, p[1] AS word, nullif(p[2], '') AS author, trim(p[3]) AS text FROM e""")
+def comment_markers(t):
+    """Markers of comments, several a line, in blocks too; what strings and code hold is none."""
+    return X.comment_markers(X.tokens(t.commented)).select("node_id", "line", "nth", "word", "author", "text")
+
+
+@query(TOKENS + r""" SELECT node_id, node_id || '#run' AS fn_key, greatest(count(*) FILTER (WHERE text = 'run' || k) - 1, 0) AS local_refs FROM tl GROUP BY node_id, k""")
+def local_refs(t):
+    """How often a function's name stands in its file, in code."""
+    fns = t.commented.select("node_id", F.concat("node_id", F.lit("#run")).alias("fn_key"), F.concat(F.lit("M.run"), F.col("k").cast("string")).alias("fn_name"))
+    return X.local_refs(fns, X.tokens(t.commented))
+
+
+@query(TOKENS + r""" SELECT 'info' AS severity, 'dead-function' AS "check", node_id, node_id || '#run file-local' AS detail FROM tl GROUP BY node_id, k HAVING count(*) FILTER (WHERE text = 'run' || k) < 2""")
+def dead_locals(t):
+    """Functions of a file that nothing calls and whose name is not passed on as a value."""
+    fns = t.commented.select("node_id", F.concat("node_id", F.lit("#run")).alias("fn_key"), F.concat(F.lit("run"), F.col("k").cast("string")).alias("fn_name"), F.lit(False).alias("internal"))
+    return C.dead_functions(fns, t.calls, local_refs=X.local_refs(fns, X.tokens(t.commented)))

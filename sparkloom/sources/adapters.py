@@ -78,7 +78,7 @@ CODE = {
 
 def _written(template: str, key: str) -> str:
     """An expression of both dialects that fills a template."""
-    marks = {"[[": "chr(123)", "]]": "chr(125)", "|": "chr(10)", "@": "chr(96)", "#": f"CAST({key} AS STRING)", "%%": "'#'", "~A": "'@'", "~O": "'||'", "~K": "'[]'"}
+    marks = {"[[": "chr(123)", "]]": "chr(125)", "|": "chr(10)", "@": "chr(96)", "#": f"CAST({key} AS STRING)", "%%": "'#'", "~A": "'@'", "~O": "'||'", "~K": "'[]'", "~[": "'[['", "~]": "']]'"}
     return "'" + re.sub("|".join(map(re.escape, sorted(marks, key=len, reverse=True))), lambda m: f"' || {marks[m[0]]} || '", template) + "'"
 
 
@@ -87,6 +87,7 @@ SQL |= {
     "fenced": "SELECT doc_id, " + _written("a @one@ and @@two @x@ b@@ |", "doc_id") + " || CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN {_written(t, 'doc_id')}" for i, t in enumerate(("@@@lua|@no@|~~~~|@no2@|@@@", "~~~~|@no@|@@@|~~~|@no3@|~~~~ |", "@@@@|@@@|@no@|@@@@@", "plain"))) + " END || " + _written("|then @ f# @ ends|%%%% Part # of it|- one|* two|tab: true|", "doc_id") + " || CASE WHEN doc_id % 7 = 0 THEN " + _written("|@@@|@never@", "doc_id") + " ELSE '' END AS content FROM documents",
     "classdocs": "SELECT p_partkey AS k, 'types' || CAST(p_partkey AS STRING) AS node_id, '---@class C' || CAST(p_partkey AS STRING) || ' : C' || CAST(p_partkey % 7 AS STRING) || ', Base' || chr(10) || '---@field a C' || CAST(p_partkey % 5 AS STRING) || '[] the first' || chr(10) || '---@field b string|D.e' || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || '---@field c table<string, C1>' ELSE '' END || chr(10) || 'local x = 1' AS content FROM part",
     "signatures": "SELECT p_partkey AS k, 'sig' || CAST(p_partkey AS STRING) AS node_id, 'local M = 1' || chr(10) || CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN {_written(t, 'p_partkey')}" for i, t in enumerate(("---~Aparam cb? fun(a: table<string, X#~K>, b: int)~OY# The (call|---~Areturn P<A#, B>? out  The one (#)|function M.go#(cb)|", "---~Aparam self T#|---~Aparam b [[x: int, y: P#]] Opts of it|function M:go#(b)|", "---~Aparam c T#?|function M.go#(self, c)|", "---~Aparam x number|---~Areturn|function M.go#(y, ...)|", "---~Aoverload fun(a: string, b?: table<string, int>, fun(z: Q#)): int, R<A, #>|---~Aoverload broken(#|function M.go#(a, b, c)|", "--- Does #.|function M.go#(a, b)|"))) + " END AS content FROM part",
+    "commented": "SELECT p_partkey AS k, 'noted' || CAST(p_partkey AS STRING) AS node_id, CASE p_partkey % 4 " + " ".join(f"WHEN {i} THEN {_written(t, 'p_partkey')}" for i, t in enumerate(("local x = \"-- TODO: no #\"|--~[ FIXME(ann): block #|  and FIX : two  HACK: three|~] local y = run#|-- NOTE: a TODO(b): b#|", "function run#(a)|  return run#(a - 1) -- WARN: deep|end|local t = [[ run# ]]|-- plain line, NOTODO: no|", "-- text only|local s = ~[ TEST: no|run# ~] .. \"BUG: no\"|local function run#() end|", "call(run#) -- PERF(x): slow # XXX:|-- run# INFO|local function run#() end|"))) + " END AS content FROM part",
     "specfiles": "SELECT p_partkey AS k, 'spec' || CAST(p_partkey AS STRING) AS node_id, " + _written("return [[|  -- [[ \"no/no\" ]]|  [[ \"own/p#\", lazy = ", "p_partkey") + " || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END || " + _written(", event = [[ \"A#\", \"B\" ]], dependencies = [[ \"dep/d#\" ]] ]],|  [[ src = \"https://h.example/x/y#\", cmd = \"Do#\", keys = [[ [[ \"<leader>#\", \"x\" ]], [[ \"gq\" ]] ]] ]],|]]|", "p_partkey") + " AS content FROM part",
 }
 
