@@ -78,6 +78,42 @@ def package_siblings(fns: DataFrame, nodes: DataFrame, languages: tuple[str, ...
     return held.agg(F.countDistinct("node_id").alias("n"), F.min("node_id").alias("node_id"), F.max_by("fn_key", "k").alias("fn_key")).where("n = 1").drop("n")
 
 
+def ladder_index(fns: DataFrame, aliases: DataFrame, guess: bool, modules: DataFrame | None, siblings: DataFrame | None, imports: DataFrame | None) -> DataFrame:
+    """(scope, name, rung, to_key, module, member): all that a call can be looked up in, by one pair of keys.
+
+    A scope is a module, a file's alias, a file under one of its own prefixes, a file, its package, its imports, or the
+    tree. A name that is empty says that the scope is there, whatever it holds.
+    """
+    held = stored(function_index(fns), "index")
+    row = lambda df, scope, name, rung, key=None, module=None, member=None: df.select(F.concat(*scope).alias("scope"), F.lit("").alias("name") if name is None else F.col(name).alias("name"), (F.lit(rung) if isinstance(rung, str) else rung).alias("rung"), *[(F.lit(None).cast("string") if c is None else F.col(c)).alias(n) for n, c in (("to_key", key), ("module", module), ("member", member))])
+    of = lambda target: held.select(F.col("node_id").alias(target), "name", "fn_key")
+    alias = aliases.withColumn("scope", F.concat(F.lit("a:"), "node_id", F.lit("\x01"), "alias"))
+    heads = fns.where(F.col("fn_name").contains(".")).select("node_id", F.substring_index("fn_name", ".", 1).alias("head")).distinct()
+    parts = [
+        row(alias, ["scope"], None, F.when(F.col("target").isNull(), "external").otherwise("alias"), module="module"),
+        row(alias.join(of("target"), "target"), ["scope"], "name", "alias", "fn_key"),
+        row(heads, [F.lit("p:"), "node_id", F.lit("\x01"), "head"], None, "own"),
+        row(heads.join(held, "node_id"), [F.lit("p:"), "node_id", F.lit("\x01"), "head"], "name", "own", "fn_key"),
+        row(held, [F.lit("o:"), "node_id"], "name", "own", "fn_key"),
+    ]
+    if modules is not None:
+        parts.append(row(modules, [F.lit("m:"), "module"], None, "inline"))
+        parts.append(row(modules.select("module", "node_id").join(held, "node_id"), [F.lit("m:"), "module"], "name", "inline", "fn_key"))
+    if siblings is not None:
+        parts.append(row(siblings, [F.lit("s:"), "node_id"], "name", "sibling", "fn_key"))
+    if imports is not None:
+        found = imports.withColumnRenamed("name", "local").withColumn("bare", bare_name(F.col("member")))
+        full, short = held.toDF("target", "member", "full_key"), held.toDF("target", "bare", "short_key")
+        found = found.join(full, ["target", "member"], "left").join(short, ["target", "bare"], "left").withColumn("fn_key", F.coalesce("full_key", "short_key"))
+        parts.append(row(found, [F.lit("i:"), "node_id"], "local", F.when(F.col("target").isNull(), "external").otherwise("import"), "fn_key", "module", "member"))
+    if guess:
+        parts.append(row(unique_bare(fns), [F.lit("u")], "name", "unique", "fn_key"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def resolve_calls(raw: DataFrame, fns: DataFrame, aliases: DataFrame, guess: bool = False, modules: DataFrame | None = None, siblings: DataFrame | None = None, imports: DataFrame | None = None) -> DataFrame:
     """raw (node_id, seq, callee, from_fn, line) with the rung that applies, and the function it finds.
 
@@ -87,42 +123,33 @@ def resolve_calls(raw: DataFrame, fns: DataFrame, aliases: DataFrame, guess: boo
     (imports: node_id, name, target or null, module, member), unique (a bare name that one function of the whole
     tree has; only with `guess`, and heuristic). A call stops at the first rung that applies, found or not.
     aliases: (node_id, alias, target node or null, module). Calls from no function, and of itself, are dropped.
+
+    A call is looked up under its few possible keys, ranked, in one index and by one join; the least rank is a minimum that
+    the map side takes first. So calls move twice: to the index, and to their minimum.
     """
-    inline = r"^require\s*\(?\s*[\"']([\w.-]+)[\"']\s*\)?\s*\.([\w.]+)$"
-    plain = F.col("callee").rlike(r"^\w+\.[\w.]+$")
-    calls = raw.where("from_fn is not null").withColumn("inline", F.regexp_extract("callee", inline, 1))
-    calls = calls.withColumn("head", F.when(plain, F.substring_index("callee", ".", 1))).withColumn("rest", F.when(F.col("inline") != "", F.regexp_extract("callee", inline, 2)).when(plain, F.regexp_replace("callee", r"^[^.]*\.", "")))
-    none = lambda schema: raw.sparkSession.createDataFrame([], schema)
-    name = raw.schema["node_id"].dataType.simpleString()
-    modules = modules if modules is not None else none(f"module string, node_id {name}")
-    siblings = siblings if siblings is not None else none(f"node_id {name}, name string, fn_key string")
-    imports = imports if imports is not None else none(f"node_id {name}, name string, target {name}, module string, member string")
-    known = aliases.select("node_id", F.col("alias").alias("head"), F.col("target").alias("alias_target"), F.col("module").alias("alias_module"), F.lit(True).alias("has_alias"))
-    index = stored(function_index(fns), "index")
-    prefixes = fns.where(F.col("fn_name").contains(".")).select("node_id", F.substring_index("fn_name", ".", 1).alias("head"), F.lit(True).alias("has_prefix")).distinct()
-    named = imports.select("node_id", F.col("name").alias("callee"), F.col("target").alias("import_target"), F.col("module").alias("import_module"), F.col("member").alias("import_member"), F.lit(True).alias("has_import"))
-    own = index.select("node_id", F.col("name").alias("callee"), F.col("fn_key").alias("own_key"))
-    near = siblings.select("node_id", F.col("name").alias("callee"), F.col("fn_key").alias("sibling_key"))
-    once = unique_bare(fns).select(F.col("name").alias("callee"), F.col("fn_key").alias("guess_key"))
-    calls = calls.join(modules.select(F.col("module").alias("inline"), F.col("node_id").alias("inline_target")), "inline", "left")
-    for other, keys in ((known, ["node_id", "head"]), (prefixes, ["node_id", "head"]), (own, ["node_id", "callee"]), (near, ["node_id", "callee"]), (named, ["node_id", "callee"]), (once, ["callee"])):
-        calls = calls.join(other, keys, "left")
-    bare = F.col("callee").rlike(r"^\w+$")
-    rung = F.when((F.col("inline") != "") & F.col("inline_target").isNotNull(), "inline").when(F.col("inline") != "", "external")
-    rung = rung.when(F.col("has_alias") & F.col("alias_target").isNotNull(), "alias").when(F.col("has_alias"), "external").when(F.col("has_prefix"), "own")
-    rung = rung.when(bare & F.col("own_key").isNotNull(), "own").when(bare & F.col("sibling_key").isNotNull(), "sibling")
-    rung = rung.when(bare & F.col("has_import") & F.col("import_target").isNotNull(), "import").when(bare & F.col("has_import"), "external").when(bare & F.col("guess_key").isNotNull() & F.lit(guess), "unique")
-    calls = calls.withColumn("rung", rung)
-    where = F.when(F.col("rung") == "inline", F.col("inline_target")).when(F.col("rung") == "alias", F.col("alias_target")).when(F.col("rung") == "import", F.col("import_target")).when((F.col("rung") == "own") & ~bare, F.col("node_id"))
-    what = F.when(F.col("rung") == "import", F.col("import_member")).otherwise(F.col("rest"))
-    calls = calls.withColumn("t", where).withColumn("m", F.when((F.col("rung") == "own") & ~bare, F.col("callee")).otherwise(what)).withColumn("b", bare_name(what))
-    full = index.select(F.col("node_id").alias("t"), F.col("name").alias("m"), F.col("fn_key").alias("full_key"))
-    short = index.select(F.col("node_id").alias("t"), F.col("name").alias("b"), F.col("fn_key").alias("short_key"))
-    calls = calls.join(full, ["t", "m"], "left").join(short, ["t", "b"], "left")
-    to = F.when(F.col("t").isNotNull(), F.coalesce("full_key", "short_key")).when(F.col("rung") == "own", F.col("own_key")).when(F.col("rung") == "sibling", F.col("sibling_key")).when(F.col("rung") == "unique", F.col("guess_key"))
-    outer = F.when(F.col("rung") == "external", F.when(F.col("inline") != "", F.col("inline")).otherwise(F.coalesce("alias_module", "import_module")))
-    member = F.when(F.col("rung") == "external", F.coalesce("rest", "import_member"))
-    return calls.select("node_id", "seq", "from_fn", "callee", "line", "rung", to.alias("to_key"), outer.alias("alias_module"), member.alias("member"), F.when(F.col("rung") == "unique", "heuristic").otherwise("exact").alias("confidence")).where("to_key is null or to_key != from_fn")
+    pattern = r"^require\s*\(?\s*[\"']([\w.-]+)[\"']\s*\)?\s*\.([\w.]+)$"
+    calls = raw.where("from_fn is not null").select("node_id", "seq", "from_fn", "callee", "line", F.regexp_extract("callee", pattern, 1).alias("inline"))
+    plain, bare = F.col("callee").rlike(r"^\w+\.[\w.]+$"), F.col("callee").rlike(r"^\w+$")
+    rest = F.when(F.col("inline") != "", F.regexp_extract("callee", pattern, 2)).when(plain, F.regexp_replace("callee", r"^[^.]*\.", ""))
+    calls = calls.withColumn("rest", rest)
+    key = lambda rank, name, *scope: F.struct(F.concat(*scope).alias("scope"), name.alias("name"), F.lit(rank).alias("rank"))
+    head = F.substring_index("callee", ".", 1)
+    tail, whole, none = bare_name(F.col("rest")), F.col("callee"), F.lit("")
+    mod, alias, mine = (F.lit("m:"), F.col("inline")), (F.lit("a:"), F.col("node_id"), F.lit("\x01"), head), (F.lit("p:"), F.col("node_id"), F.lit("\x01"), head)
+    within = [key(0, F.col("rest"), *mod), key(1, tail, *mod), key(2, none, *mod)]
+    dotted = [key(10, F.col("rest"), *alias), key(11, tail, *alias), key(12, none, *alias), key(20, whole, *mine), key(21, tail, *mine), key(22, none, *mine)]
+    single = [key(30, whole, F.lit("o:"), F.col("node_id")), key(40, whole, F.lit("s:"), F.col("node_id")), key(50, whole, F.lit("i:"), F.col("node_id")), key(60, whole, F.lit("u"))]
+    ways = F.when(F.col("inline") != "", F.array(*within)).when(plain, F.array(*dotted)).when(bare, F.array(*single)).otherwise(F.array(key(99, none, none)))
+    tried = calls.withColumn("k", F.explode(ways)).select("*", "k.*").drop("k")
+    index = ladder_index(fns, aliases, guess, modules, siblings, imports)
+    met = tried.join(index, ["scope", "name"], "left")
+    best = F.min(F.when(F.col("rung").isNotNull(), F.struct("rank", "rung", "to_key", "module", "member")))
+    found = met.groupBy("node_id", "seq", "from_fn", "callee", "line", "inline", "rest").agg(best.alias("b"))
+    rung = F.coalesce(F.col("b.rung"), F.when(F.col("inline") != "", "external"))
+    outer = F.when(F.col("rung") == "external", F.when(F.col("inline") != "", F.col("inline")).otherwise(F.col("b.module")))
+    member = F.when(F.col("rung") == "external", F.coalesce("rest", F.col("b.member")))
+    found = found.withColumn("rung", rung).select("node_id", "seq", "from_fn", "callee", "line", "rung", F.col("b.to_key").alias("to_key"), outer.alias("alias_module"), member.alias("member"), F.when(F.col("rung") == "unique", "heuristic").otherwise("exact").alias("confidence"))
+    return found.where("to_key is null or to_key != from_fn")
 
 
 def call_edges(resolved: DataFrame) -> DataFrame:
