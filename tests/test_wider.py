@@ -163,3 +163,42 @@ def test_bursts_in_slices_are_those_of_sessions(spark):
     for seconds in (1, 7, 3600):
         assert rows(T.debounced_in_slices(events, 500, seconds)) == rows(T.debounced(events.where("ts is not null")))
     assert T.debounced_in_slices(events.limit(0)).collect() == []
+
+
+def test_tokens_know_comments_from_strings(spark):
+    text = 'a = "x -- TODO: no" -- FIX(me): one  TODO: two\n--[==[ HACK: in\n ]] NOTE: still ]==] b.run(run)\nlocal s = [[ -- BUG: no\n]] -- run: no mark\n--[[ open TODO: t\nrun'
+    files = spark.createDataFrame([("f", text), ("g", ""), ("h", None)], "node_id string, content string")
+    found = X.tokens(files)
+    got = rows(X.comment_markers(found).select("line", "nth", "word", "author", "text"))
+    assert got == [(1, 0, "FIX", "me", "one"), (1, 1, "TODO", None, "two"), (2, 0, "HACK", None, "in"), (3, 0, "NOTE", None, "still"), (6, 0, "TODO", None, "t")]
+    fns = spark.createDataFrame([("f", "f#1", "M.run"), ("f", "f#2", "s"), ("g", "g#1", "run")], "node_id string, fn_key string, fn_name string")
+    assert rows(X.local_refs(fns, found)) == [("f", "f#1", 2), ("f", "f#2", 0), ("g", "g#1", 0)]
+    c = spark.createDataFrame([("f", 'int a; // TODO: x\nchar *s = "// no"; /* NOTE: y\n FIX: z */')], "node_id string, content string")
+    assert rows(X.comment_markers(X.tokens(c, "braces")).select("line", "word", "text")) == [(1, "TODO", "x"), (2, "NOTE", "y"), (3, "FIX", "z")]
+
+
+def test_types_are_split_outside_brackets(spark):
+    one = lambda f, v: spark.createDataFrame([(v,)], "v string").select(f(S.F.col("v")).alias("x")).head()["x"]
+    assert tuple(one(S.param_info, "cb? fun(a: table<string, X[]>, b: { c: int }): Y the text")) == ("cb", "fun(a: table<string, X[]>, b: { c: int }):", True, "Y the text")
+    assert tuple(one(S.param_info, "x")) == ("x", "", False, "") and tuple(one(S.param_info, "o Opts? what it")) == ("o", "Opts", True, "what it")
+    assert tuple(one(S.return_info, "table<string, int> out  the map")) == ("table<string, int>", "out", "the map")
+    assert tuple(one(S.return_info, "int")) == ("int", None, "")
+    over = one(S.overload_info, "fun(a: fun(x: T<A, B>): U, b?: int, string): R, { x: int, y: int }")
+    assert [tuple(x) for x in over["params"]] == [("a", "fun(x: T<A, B>): U", False), ("b", "int", True), ("_", "string", False)] and over["returns"] == ["R", "{ x: int, y: int }"]
+    for bad in ("text", "fun(a: b", "fun"):
+        assert one(S.overload_info, bad) == ([], [])
+    assert one(S.overload_info, "fun()") == ([], [])
+
+
+def test_rules_of_ones_own_and_self(spark):
+    fns = spark.createDataFrame([("n", "1", "T:m", ["a"], ["self", "a"]), ("n", "2", "T.m", ["self", "a"], ["a"]), ("n", "3", "T.m", ["a"], ["b"]), ("n", "4", "T.m", ["self", "a"], ["self", "b"]), ("n", "5", "f", ["..."], ["x"])], "node_id string, fn_key string, fn_name string, declared array<string>, params array<string>")
+    assert [r.detail for r in C.param_mismatch(fns).orderBy("detail").collect()] == ["3", "4"]
+
+    @C.check("short-name")
+    def short(f):
+        return C.finding(f.where("length(fn_name) < 2"), "info", "short-name", detail="fn_name")
+
+    try:
+        assert rows(C.all_of(C.param_mismatch(fns), *C.extra(fns)).select("check", "detail")) == [("param-name-mismatch", "3"), ("param-name-mismatch", "4"), ("short-name", "f")]
+    finally:
+        C.EXTRA.pop("short-name")
