@@ -255,7 +255,7 @@ def doc_tags(files: DataFrame) -> DataFrame:
     said = F.when(F.col("name") != "", F.regexp_extract("text", r"^\s*---\s*@[A-Za-z]+\s*(.*)$", 1)).otherwise(F.regexp_replace("text", r"^\s*---?\s?", ""))
     got = rows.withColumn("said", said).groupBy("node_id", "owner", "nth").agg(F.min("line").alias("line"), F.max("name").alias("name"), F.array_sort(F.collect_list(F.struct("line", "said"))).alias("all"))
     told = F.transform("all", lambda x: x["said"])
-    body = F.when(F.col("name").isin("", "example"), F.array_join(F.when((F.col("name") == "example") & (told[0] == ""), F.slice(told, 2, 1_000_000)).otherwise(told), "\n")).otherwise(told[0])
+    body = F.when(F.col("name").isin("", "example"), F.array_join(F.when((F.col("name") == "example") & (told[0] == ""), F.slice(told, F.lit(2), F.greatest(F.size(told), F.lit(1)))).otherwise(told), "\n")).otherwise(told[0])
     return got.select("node_id", "owner", "line", F.when(F.col("name") == "", "prose").otherwise(F.col("name")).alias("tag"), body.alias("value"))
 
 

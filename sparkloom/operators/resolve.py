@@ -208,9 +208,15 @@ def missing_members(spans: DataFrame, nodes: DataFrame, fns: DataFrame) -> DataF
 
 
 def capped(refs: DataFrame, key: str, order: list[str], most: int = 20) -> DataFrame:
-    """The first `most` rows of each key in encounter order, and how many more there are."""
-    w = Window.partitionBy(key)
-    return refs.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("more", F.greatest(F.count(F.lit(1)).over(w) - most, F.lit(0))).where(F.col("rank") <= most)
+    """The first `most` rows of each key in encounter order, and how many more there are.
+
+    Each task keeps its own first ones and counts by itself before the shuffle, so a key of very many rows is no task's burden.
+    """
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    first = refs.withColumn("rank", rank).where(F.col("rank") <= most)
+    many = refs.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_many"))
+    more = F.greatest(F.col("_many") - most, F.lit(0)).alias("more")
+    return first.join(many, first[key].eqNullSafe(many["_key"])).select(*refs.columns, "rank", more)
 
 
 def spans_of(fns: DataFrame) -> DataFrame:
