@@ -124,13 +124,14 @@ def impact_counts(edges: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
     return merged.unionByName(alone).groupBy(key).agg(F.sum("n").cast("long").alias("impacted"))
 
 
-def shortest_path(edges: DataFrame, start: DataFrame, end: DataFrame) -> DataFrame:
-    """(step, src, dst, and what else edges have) of a shortest path between two one-row frames (node); no rows if there is none or both are one.
+def shortest_path(edges: DataFrame, start: DataFrame | str, end: DataFrame | str) -> DataFrame:
+    """(step, src, dst, and what else edges have) of a shortest path between two nodes, or one-row frames (node); no rows if there is none or both are one.
 
     The walk keeps a parent for each node, the least that is one step nearer, and stops at the end. Parents are then
     doubled (2, 4, 8 ... steps back), and the nodes of the path are those met by any sum of such leaps from the end: the path
     is read in a number of joins that grows with the logarithm of its length.
     """
+    start, end = (edges.sparkSession.createDataFrame([(x,)], "node string") if isinstance(x, str) else x for x in (start, end))
     links = stored(edges.groupBy("src", "dst").agg(*[F.min(c).alias(c) for c in edges.columns if c not in ("src", "dst")], F.count(F.lit(1)).alias("_n")).drop("_n"), "links")
     seen = frontier = stored(start.select("node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("d")), "walk")
     goal, d = stored(end.select("node"), "goal"), 0

@@ -85,7 +85,7 @@ def checked_refs(items: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def why(edges: DataFrame, start: str, end: str) -> DataFrame:
     """(step, src, dst, deferred, lazy) of a shortest path; lazy where any step of the path is deferred."""
-    path = graph.shortest_path(edges, start, end)
+    path = graph.shortest_path(edges, start, end).select("step", "src", "dst")
     flags = edges.groupBy("src", "dst").agg(F.bool_and("deferred").alias("deferred"))
     return path.join(flags, ["src", "dst"]).withColumn("lazy", F.bool_or("deferred").over(Window.partitionBy(F.lit(0)))).select("step", "src", "dst", "deferred", "lazy")
 

@@ -2,7 +2,7 @@
 
 Suppliers are modules, nations and regions their folders, parts functions, orders commits, consecutive lines of an order
 calls, events calls at run time. Each line is a require too: of its supplier's half (lines 4 and 5) or third (6 and 7), or of
-the next in a ring of up to six (1 to 3). So every row counts, yet the graph is sparse: rings of several sizes, paths as
+the next in a ring of up to six (1 to 3; of its half where it is on none). So every row counts, yet the graph is sparse: rings of several sizes, paths as
 long as the logarithm of the suppliers, blocks that stand apart.
 """
 
@@ -28,7 +28,7 @@ SQL: dict[str, str] = {
         UNION ALL SELECT n_name, CAST(100 + n_nationkey AS BIGINT), 'namespace', lower(n_name), lower(r_name) || '/' || lower(n_name), NULL, NULL, NULL, r_name, 2 FROM nation JOIN region ON n_regionkey = r_regionkey
         UNION ALL SELECT node_id, CAST(1000 + k AS BIGINT), 'module', 's' || CAST(k AS STRING), path, language, module, summary, parent_id, 3 FROM modules""",
     "steps": """SELECT o, line, s, p, flag, p2, seq, CASE WHEN t = s OR CAST(floor(s / 8) AS BIGINT) % 4 <> CAST(floor(t / 8) AS BIGINT) % 4 AND (CAST(floor(s / 8) AS BIGINT) % 4 = 3 OR CAST(floor(t / 8) AS BIGINT) % 4 = 3) THEN CAST(NULL AS BIGINT) ELSE t END AS s2
-        FROM (SELECT *, CASE WHEN line > 5 THEN CAST(floor(s / 3) AS BIGINT) WHEN line > 3 THEN CAST(floor(s / 2) AS BIGINT) WHEN s % 8 < 1 + CAST(floor(s / 8) AS BIGINT) % 6 THEN s - s % 8 + (s % 8 + 1) % (1 + CAST(floor(s / 8) AS BIGINT) % 6) ELSE CAST(NULL AS BIGINT) END AS t
+        FROM (SELECT *, CASE WHEN line > 5 THEN CAST(floor(s / 3) AS BIGINT) WHEN line > 3 THEN CAST(floor(s / 2) AS BIGINT) WHEN s >= 8 AND s % 8 < 1 + CAST(floor(s / 8) AS BIGINT) % 6 THEN s - s % 8 + (s % 8 + 1) % (1 + CAST(floor(s / 8) AS BIGINT) % 6) ELSE CAST(floor(s / 2) AS BIGINT) END AS t
         FROM (SELECT l_orderkey AS o, l_linenumber AS line, l_suppkey AS s, l_partkey AS p, l_returnflag AS flag, lead(l_partkey) OVER w AS p2, l_orderkey * 100 + row_number() OVER w AS seq
         FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)) x) y""",
     "requires_raw": """SELECT a.node_id, seq, CASE WHEN p % 11 = 0 THEN 'ext.lib' || CAST(p % 4 AS STRING) ELSE b.module END AS module, (a.k + line) % 3 = 0 AS deferred, line
