@@ -186,7 +186,7 @@ def dead_functions(fns: DataFrame, calls: DataFrame, runtime: DataFrame | None =
 
     Run-time calls clear them, and so do local_refs (fn_key, local_refs): names passed as values in the file.
     """
-    left = fns.join(calls.select(F.col("to_key").alias("fn_key")), "fn_key", "left_anti")
+    left = fns.join(calls.select(F.col("to_key").alias("fn_key")).distinct(), "fn_key", "left_anti")
     if see is not None:
         left = left.join(see, F.col("fn_name") == F.col("target"), "left_anti").join(see, bare_name(F.col("fn_name")) == F.col("target"), "left_anti")
     if runtime is not None:
