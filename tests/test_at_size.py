@@ -71,3 +71,9 @@ def test_history_sends_no_row_for_a_commit_and_caller(spark):
         assert rows(got.select(F.col("sha").cast("long"), "files", "touched", "callers")) == sorted(want, key=str)
         sent = [x for x in str(got._jdf.queryExecution().executedPlan()).split("\n") if "Exchange" in x]
         assert not [x for x in sent if "from_key" in x and "sha" in x]
+
+
+def test_hottest_function_with_keys_beyond_a_million(spark, tmp_path):
+    folder = changed(tmp_path, part="SELECT * REPLACE (p_partkey + p_size * 1000000 AS p_partkey) FROM {0}")
+    want = oracle(folder, catalog.SQL["churn_hotspots"])
+    assert rows(catalog.FOUND["churn_hotspots"](spark, folder)) == sorted(want, key=str)
