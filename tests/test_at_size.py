@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 from pyspark.sql import functions as F
 
+from sparkloom.operators import graph as G
 from sparkloom.operators import views as V
 from sparkloom.operators.intervals import meeting
 from sparkloom.plans import catalog, views  # noqa: F401
@@ -77,3 +78,10 @@ def test_hottest_function_with_keys_beyond_a_million(spark, tmp_path):
     folder = changed(tmp_path, part="SELECT * REPLACE (p_partkey + p_size * 1000000 AS p_partkey) FROM {0}")
     want = oracle(folder, catalog.SQL["churn_hotspots"])
     assert rows(catalog.FOUND["churn_hotspots"](spark, folder)) == sorted(want, key=str)
+
+
+def test_nothing_is_searched_for_cycles_in_a_tree(spark, monkeypatch):
+    seen, search = [], G._by_pivots
+    monkeypatch.setattr(G, "_by_pivots", lambda edges: (seen.append(edges.count()), search(edges))[1])
+    tree = spark.createDataFrame([(f"n{k}", f"n{k // 5 * 2}") for k in range(1000) if k % 5 > 1], "src string, dst string")
+    assert G.cycles(tree).isEmpty() and seen == [0]
